@@ -82,7 +82,7 @@ class Plan:
 def _rank(doc_id: Column, size: Column, odds: Column, seed: int) -> Column:
     """A document's Pareto rank: the odds of a random number by the odds of its inclusion, brought into 0 to 1."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, size), 11) + 0.5) / float(1 << 53)
-    q = u / (1.0 - u) / odds
+    q = u / (1.0 - u) / F.nullif(odds, F.lit(0.0))
     return q / (1.0 + q)
 
 
