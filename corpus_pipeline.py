@@ -7,27 +7,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import dedup, langid, mixing, packing
+from tessera.llm import dedup, jaccard, langid, mixing, packing
 from tessera.llm.common import shared_dir, table
 from tessera.llm.queries import TOKENIZER
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return list(docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, those with no text or no letter, go; the network learns from all folds but the held-out one."""
-    keep = _columns(docs)
     training = docs.where(langid.fold(F.col("doc_id")) != 2)
-    rows = docs.withColumn("__copy_of_text", F.col("text")) if "text" in keep else docs
-    return langid.identify(rows, training, keep).where("lang_pred <> 'und'").select(*keep)
+    return langid.identify(docs, training, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup.drop_exact_duplicates(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest id stays."""
+    return jaccard.keep_one_of_each(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
@@ -36,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, TOKENIZER, with_ids=False)
 
 
-STAGES = [("language ID", language), ("exact dedup", exact), ("mixing", mix), ("packing", pack)]
+STAGES = [("language ID", language), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mix), ("packing", pack)]
 
 #: A trained network, hash sampling and byte-pair tokens are beyond SQL.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, dedup, langid, mixing, packing, topk, urls
+from tessera.llm import chat, dedup, jaccard, langid, mixing, packing, topk, urls
 from tessera.llm.common import table
 
 #: Its path is a parameter of the operator.
@@ -15,6 +15,10 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
@@ -48,7 +52,7 @@ def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op3_sum_of_squares_packing, op5_language_id, op6_pareto_mixing, op7_heavy_hitter_dedup, op8_chat_formatting, op9_url_filter, op10_bit_sliced_top_k)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_sum_of_squares_packing, op5_language_id, op6_pareto_mixing, op7_heavy_hitter_dedup, op8_chat_formatting, op9_url_filter, op10_bit_sliced_top_k)}
 
 ORACLE_SQL = {
     "op7_heavy_hitter_dedup": """
