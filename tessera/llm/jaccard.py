@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -45,7 +45,18 @@ def _need(n: np.ndarray | int):
 
 def _spare(n: np.ndarray | int):
     """Tokens that a prefix is longer than needed, and so how many two linked prefixes share at least."""
-    return 1 + n // 16
+    return 1 + n // 8
+
+
+def _must_share(n: Column, m: Column) -> Column:
+    """The least number of tokens that the prefixes of two linked sets of these sizes share.
+
+    A common token beyond the lesser of the prefixes' ends is among what the set of that prefix has left, so
+    the overlap is at most what the prefixes share and the larger remainder. Two less, for tokens whose
+    shortened hashes fall together.
+    """
+    rest = lambda x: F.ceil(x * PERCENT / 100) - 1 - F.floor(x / 8)
+    return F.ceil((n + m) * PERCENT / (100 + PERCENT)) - F.greatest(rest(n), rest(m)) - 2
 
 
 def _set_id(tokens: np.ndarray) -> int:
@@ -184,10 +195,10 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
 
 
 def _leader_pairs(postings: DataFrame, turn: int) -> DataFrame:
-    """``(a, b)``: in each token's list, one set of each component with one of the component that leads.
+    """``(a, b, shared)``: in each token's list, one set of each component with one of the component that leads.
 
-    The set with the least rare part leads at first, the centre of a cluster of edited copies; later, sets
-    change with token and turn. A list of m sets gives less than m pairs.
+    The set with the least rare part leads, the centre of a cluster of edited copies; the sets that stand for
+    components change with the turn. A list of m sets gives less than m pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +206,11 @@ def _leader_pairs(postings: DataFrame, turn: int) -> DataFrame:
         if not cols:
             return
         key, comp, sid, rank = cols
-        chance = mix(sid.view(np.uint64) ^ (mix(key.view(np.uint64) + np.uint64(turn)) if turn else np.uint64(0)))
+        chance = mix(sid.view(np.uint64) + np.uint64(turn))
         order = np.lexsort((chance, comp, key))
-        key, comp, sid, rank, chance = (x[order] for x in (key, comp, sid, rank, chance))
+        key, comp, sid, rank = (x[order] for x in (key, comp, sid, rank))
         one = np.concatenate(([True], (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])))
-        key, comp, sid, rank, chance = (x[one] for x in (key, comp, sid, rank, chance))
+        key, comp, sid, rank = (x[one] for x in (key, comp, sid, rank))
         order = np.lexsort((mix(comp.view(np.uint64) + np.uint64(turn)), rank, key))
         key, sid = key[order], sid[order]
         start = _runs(key)
@@ -207,11 +218,14 @@ def _leader_pairs(postings: DataFrame, turn: int) -> DataFrame:
         lead = np.repeat(sid[start], size)
         rest = np.ones(len(key), bool)
         rest[start] = False
-        pairs = np.unique(np.stack([lead[rest], sid[rest]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        a, b = lead[rest], sid[rest]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(a[start]), pa.array(b[start]), pa.array(np.diff(np.append(start, len(a))).astype(np.int64))], ["a", "b", "shared"])
 
     dealt = postings.select("key", "comp", "sid", "rank").repartition("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
 def _asked_groups(postings: DataFrame) -> DataFrame:
@@ -313,17 +327,25 @@ def _verified(asked: DataFrame, members: DataFrame, texts: DataFrame) -> DataFra
 
 
 def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link."""
+    """Pairs whose sizes allow a link, and that lead or follow in half as many lists as a link must share."""
     a, b = sets.select(F.col("sid").alias("a"), F.col("n").alias("na")), sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"))
-    return pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    return pairs.join(a, "a").join(b, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (F.col("shared") * 2 >= _must_share(F.col("na"), F.col("nb"))))
 
 
-def _pick(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _pick(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     """``(sid, text)`` of the wanted sets, from one document of each."""
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     wanted = wanted.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "sid")
     found = docs.join(wanted, (F.xxhash64("text") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    return cut(found.select("sid", "text").dropDuplicates(["sid"]))
+    return cut(found.select("sid", "text").repartition(parts, "sid").dropDuplicates(["sid"]))
+
+
+def _able(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """Postings without sets that share too few of their tokens with others to link, and without tokens that are then one set's."""
+    least = F.ceil(F.col("n") * PERCENT / 100)  # the smallest partner is the least demanding
+    enough = postings.groupBy("sid").agg(F.count("*").alias("shared")).join(sets.select("sid", "n"), "sid").where(F.col("shared") >= _must_share(F.col("n"), least)).select("sid")
+    left = postings.join(enough, "sid")
+    return cut(left.join(left.groupBy("base").agg(F.count("*").alias("sets")).where("sets > 1").select("base"), "base"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document's set is that of its 5-word shingles over ASCII-folded words. Documents with equal sets are
     one from the start. Of every set the prefix that must share tokens with any set it links to is dealt by
-    token, common tokens last; token lists shrink twice to links with a leader, verified exactly; what
+    token, common tokens last; token lists shrink a few times to links with a leader, verified exactly; what
     still joins two components is asked of the token-group matrix, and a link between any two sets is found
     there if not before. All work on a list is linear but the last, where groups are pruned by their bound.
     Null texts and texts without words have an empty set, link to nothing and are a component of their
@@ -345,10 +367,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("least"), F.max("n").alias("n")))
     often = every.where("n is null").groupBy("sid").agg(F.sum("low").alias("low")).where(F.col("low") >= COMMON).orderBy(F.desc("low"), "sid").limit(COMMON_MOST).collect()
     common = np.array(sorted((r.sid & (2**64 - 1), r.low) for r in often), np.uint64).reshape(-1, 2)
-    entries = sets.agg(F.sum(F.col("n") * 0.3 + 2)).first()[0] or 0
+    entries = sets.agg(F.sum(F.col("n") * 0.375 + 2)).first()[0] or 0
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries // 2_000_000))
     postings = cut(_postings(light, common[:, 0].copy(), common[:, 1].astype(np.int64), buckets))
-    texts = _pick(light, cut(sets.join(postings.select("sid").distinct(), "sid").select("one.*", "sid")))
+    postings = _able(postings, sets)
+    texts = _pick(light, cut(sets.join(postings.select("sid").distinct(), "sid").select("one.*", "sid")), buckets // 4)
     comps = None
     for turn in range(LEADER_ROUNDS):
         pairs = cut(_sized(_leader_pairs(_with_components(postings, comps), turn), sets).select(F.col("a").alias("g"), F.col("b").alias("sid")))
@@ -357,14 +380,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     now = _with_components(postings, comps)
     mixed = now.groupBy("base").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("base")
     now = now.join(mixed, "base")
-    members = now.select("comp", "sid").distinct()
-    count = members.groupBy("comp").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    members = members.join(count, "comp").join(sets.select("sid", "n"), "sid")
-    members = cut(members.select("sid", "n", F.xxhash64("comp", F.pmod(F.xxhash64("sid"), F.col("groups"))).alias("g")))
+    members = now.select("comp", "sid").distinct().join(sets.select("sid", "n"), "sid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.1))))
+    count = members.groupBy("comp", "band").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    members = members.join(count, ["comp", "band"])
+    members = cut(members.select("sid", "n", F.xxhash64("comp", "band", F.pmod(F.xxhash64("sid"), F.col("groups"))).alias("g")))
     bounds = members.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     asked = _asked_groups(now.join(members.select("sid", "g"), "sid")).join(sets.select("sid", "n"), "sid").join(bounds, "g")
-    spare = lambda n: 1 + F.floor(n / 16)
-    asked = asked.where((F.col("shared") >= F.least(spare(F.col("n")), spare(F.col("low")))) & (F.col("low") * PERCENT <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * PERCENT))
+    low, high = F.greatest("low", F.ceil(F.col("n") * PERCENT / 100)), F.least("high", F.floor(F.col("n") * 100 / PERCENT))
+    # what must be shared falls towards either end of the sizes
+    asked = asked.where((low <= high) & (F.col("shared") >= F.least(_must_share(F.col("n"), low), _must_share(F.col("n"), high))))
     asked = cut(asked.select("g", "sid"))
     comps = _joined(comps, _verified(asked, members.select("g", "sid"), texts)).withColumnRenamed("node", "sid")
     joined = sets.join(comps, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
