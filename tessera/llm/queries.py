@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, dedup, jaccard, langid, mixing, packing, topk, urls
+from tessera.llm import chat, dedup, jaccard, langid, licenses, mixing, packing, suffixes, topk, urls
 from tessera.llm.common import table
 
 #: Its path is a parameter of the operator.
@@ -19,10 +19,20 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's place is its source and language; those that are mostly licence statements are licence files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return licenses.licenses(docs)
+
+
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
+def op4_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.fold(F.col("doc_id")) == 2)
     return langid.identify(docs, docs.where(~F.col("held_out")), ["doc_id", "held_out"])
@@ -52,7 +62,21 @@ def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_sum_of_squares_packing, op5_language_id, op6_pareto_mixing, op7_heavy_hitter_dedup, op8_chat_formatting, op9_url_filter, op10_bit_sliced_top_k)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_license_scan,
+        op3_sum_of_squares_packing,
+        op4_sparse_suffix_dedup,
+        op5_language_id,
+        op6_pareto_mixing,
+        op7_heavy_hitter_dedup,
+        op8_chat_formatting,
+        op9_url_filter,
+        op10_bit_sliced_top_k,
+    )
+}
 
 ORACLE_SQL = {
     "op7_heavy_hitter_dedup": """
