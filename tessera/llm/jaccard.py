@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -34,6 +34,10 @@ SALT_ROWS = 50_000
 GROUP = 32
 #: Rounds of linking sets to shared leaders before the matrix is asked.
 LEADER_ROUNDS = 2
+#: Rounds of leaving out sets that no longer share enough with other components.
+PARTNER_ROUNDS = 2
+#: Tokens that a query and a group must share, of the first of those that they must share.
+FEW = 2
 #: Ids that are broadcast to pick texts (16 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -52,11 +56,10 @@ def _must_share(n: Column, m: Column) -> Column:
     """The least number of tokens that the prefixes of two linked sets of these sizes share.
 
     A common token beyond the lesser of the prefixes' ends is among what the set of that prefix has left, so
-    the overlap is at most what the prefixes share and the larger remainder. Two less, for tokens whose
-    shortened hashes fall together.
+    the overlap is at most what the prefixes share and the larger remainder.
     """
     rest = lambda x: F.ceil(x * PERCENT / 100) - 1 - F.floor(x / 8)
-    return F.ceil((n + m) * PERCENT / (100 + PERCENT)) - F.greatest(rest(n), rest(m)) - 2
+    return F.ceil((n + m) * PERCENT / (100 + PERCENT)) - F.greatest(rest(n), rest(m))
 
 
 def _set_id(tokens: np.ndarray) -> int:
@@ -125,7 +128,7 @@ def _prefix(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple
     return rare[:want], rank
 
 
-_ENTRY = np.dtype([("key", "<u4"), ("sid", "<i8"), ("rank", "<u2")])
+_ENTRY = np.dtype([("key", "<u8"), ("sid", "<i8"), ("rank", "<u2")])
 
 
 def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
@@ -151,7 +154,7 @@ def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, buckets:
                     continue
                 token = mix(np.concatenate(keys))
                 rows = np.empty(len(token), _ENTRY)
-                rows["key"], rows["sid"], rows["rank"] = token & np.uint64(0xFFFFFFFF), np.repeat(np.array(sids, np.int64), lens), np.repeat(np.array(ranks, np.uint16), lens)
+                rows["key"], rows["sid"], rows["rank"] = token, np.repeat(np.array(sids, np.int64), lens), np.repeat(np.array(ranks, np.uint16), lens)
                 bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -174,7 +177,7 @@ def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, buckets:
             many = np.repeat(size > 1, size)
             salts = np.repeat(-(-size // SALT_ROWS), size)[many]
             rows = rows[many]
-            base = (np.int64(bucket) << np.int64(32)) | rows["key"].astype(np.int64)
+            base = rows["key"].copy().view(np.int64)
             salt = (mix(rows["sid"].astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
             key = mix(base.view(np.uint64) + np.uint64(0x9E37) * salt.view(np.uint64)).view(np.int64)
             for i in range(0, len(rows), 100_000):
@@ -228,40 +231,97 @@ def _leader_pairs(postings: DataFrame, turn: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
-def _asked_groups(postings: DataFrame) -> DataFrame:
-    """``(g, sid)``: the matrix's rows joined: queries whose prefix shares enough tokens with a group's of another component.
+def _band(n: np.ndarray) -> np.ndarray:
+    """Sizes in bands of a thirtieth or so."""
+    return np.floor(np.log(n) / np.log(_BAND)).astype(np.int64)
+
+
+_BAND = 1.03
+#: Linked sets' bands differ by so much at most.
+_REACH = 10
+
+
+def _partners(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """Postings that can still matter, with ``mask``: the size bands, from ``_REACH`` below a set's own, that it may link into.
 
-    Of two components the one with the smaller id asks, and so every pair of sets is met once.
+    A set may link into a band if as many of its tokens as a link to any size there must share are shared
+    with sets of the band in other components. Lists with one component left go.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = _columns(batches)
         if not cols:
             return
-        order = np.lexsort((cols[1], cols[0]))
-        base, comp, sid, g = (x[order] for x in cols)
-        start = _runs(base)
-        hits: dict[tuple[int, int], int] = {}
+        base, comp, sid, n = cols
+        band, list_of = _band(n), np.unique(base, return_inverse=True)[1]
+        code = list_of * 4096 + band + 2 * _REACH
+        order = np.lexsort((comp, code))
+        start = _runs(code[order])
+        codes, first, last = code[order][start], comp[order][start], comp[order][np.append(start[1:], len(code)) - 1]
         out = []
+        for step in range(-_REACH, _REACH + 1):
+            at = np.minimum(np.searchsorted(codes, code + step), len(codes) - 1)
+            hit = (codes[at] == code + step) & ((first[at] != comp) | (last[at] != comp))
+            found, shared = np.unique(sid[hit], return_counts=True)
+            out.append((found, np.full(len(found), step, np.int64), shared.astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["sid", "step", "shared"])
+
+    dealt = postings.select("base", "comp", "sid", "n").repartition("base")
+    shared = dealt.mapInArrow(run, "sid long, step long, shared long").groupBy("sid", "step").agg(F.sum("shared").alias("shared")).join(sets.select("sid", "n"), "sid")
+    at = F.floor(F.log("n") / F.log(F.lit(_BAND))) + F.col("step")
+    low = F.greatest(F.floor(F.pow(F.lit(_BAND), at)), F.ceil(F.col("n") * PERCENT / 100))
+    high = F.least(F.ceil(F.pow(F.lit(_BAND), at + 1)), F.floor(F.col("n") * 100 / PERCENT))
+    able = shared.withColumn("must", F.least(_must_share(F.col("n"), low), _must_share(F.col("n"), high))).where((low <= high) & (F.col("shared") >= F.col("must")))
+    able = able.groupBy("sid").agg(F.sum(F.expr(f"shiftleft(1, int(step) + {_REACH})")).alias("mask"), F.greatest(F.min("must"), F.lit(1)).alias("must"))
+    left = postings.drop("mask", "must").join(able, "sid")
+    many = left.groupBy("base").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("base")
+    return cut(left.join(many, "base"))
+
+
+def _shortened(postings: DataFrame) -> DataFrame:
+    """The first tokens of each set's, by their ids, of which two sets share ``_few`` at least if they share as many as they must."""
+    order = Window.partitionBy("sid").orderBy("base")
+    counted = postings.withColumns({"k": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("sid"))})
+    return counted.where(F.col("k") <= F.col("all") - F.col("must") + _few(F.col("must"))).drop("k", "all")
+
+
+def _few(must: Column) -> Column:
+    return F.least(must, F.lit(FEW))
+
+
+def _asked_groups(postings: DataFrame) -> DataFrame:
+    """``(sid, g, shared)``: the matrix's rows joined: how much of a query's prefix is in the prefixes of a group of another component.
+
+    Of two components the smaller asks, and so every pair of sets is met once; both must be able to link into the other's band.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = _columns(batches)
+        if not cols:
+            return
+        order = np.lexsort((cols[1], cols[2], cols[0]))
+        base, comp, size, sid, g, n, mask = (x[order] for x in cols)
+        band, start, hits = _band(n), _runs(base), {}
         for i, j in zip(start.tolist(), np.append(start[1:], len(base)).tolist(), strict=True):
-            if comp[i] == comp[j - 1]:
-                continue
-            # sorted by component: a set asks the groups of all later components
-            groups, first = np.unique(g[i:j], return_index=True)
-            owner = comp[i:j][first]
+            c, b, groups = comp[i:j], band[i:j], g[i:j]
             for k in range(i, j):
-                for other in groups[owner > comp[k]].tolist():
+                step = b - band[k]
+                near = (np.abs(step) <= _REACH) & (c != comp[k])
+                near[: k - i] = False  # a smaller component's, which asks itself
+                near &= (mask[k] >> (step.clip(-_REACH, _REACH) + _REACH) & 1 == 1) & (mask[i:j] >> ((-step).clip(-_REACH, _REACH) + _REACH) & 1 == 1)
+                for other in set(groups[near].tolist()):
                     hits[int(sid[k]), other] = hits.get((int(sid[k]), other), 0) + 1
-            if len(hits) > 500_000:
-                out, hits = hits, {}
-                yield _hits(out)
+            if len(hits) > 200_000:
+                yield _hits(hits)
+                hits = {}
         if hits:
             yield _hits(hits)
 
     def _hits(hits: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in hits], pa.int64()), pa.array([k[1] for k in hits], pa.int64()), pa.array(list(hits.values()), pa.int64())], ["sid", "g", "shared"])
 
-    return postings.select("base", "comp", "sid", "g").repartition("base").mapInArrow(run, "sid long, g long, shared long").groupBy("sid", "g").agg(F.sum("shared").alias("shared"))
+    dealt = postings.select("base", "comp", "size", "sid", "g", "n", "mask").repartition("base")
+    return dealt.mapInArrow(run, "sid long, g long, shared long").groupBy("sid", "g").agg(F.sum("shared").alias("shared"))
 
 
 def _open(members: DataFrame, queries: DataFrame) -> DataFrame:
@@ -379,16 +439,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps = _joined(comps, found)
     now = _with_components(postings, comps)
     mixed = now.groupBy("base").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("base")
-    now = now.join(mixed, "base")
-    members = now.select("comp", "sid").distinct().join(sets.select("sid", "n"), "sid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.1))))
+    now = now.join(mixed, "base").join(sets.select("sid", "n"), "sid").select("base", "comp", "sid", "n")
+    for _ in range(PARTNER_ROUNDS):  # who goes takes partners from others
+        now = _partners(now, sets)
+    members = now.select("comp", "sid", "n").distinct().withColumn("band", F.floor(F.log("n") / F.log(F.lit(_BAND))))
     count = members.groupBy("comp", "band").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    members = members.join(count, ["comp", "band"])
-    members = cut(members.select("sid", "n", F.xxhash64("comp", "band", F.pmod(F.xxhash64("sid"), F.col("groups"))).alias("g")))
-    bounds = members.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asked = _asked_groups(now.join(members.select("sid", "g"), "sid")).join(sets.select("sid", "n"), "sid").join(bounds, "g")
-    low, high = F.greatest("low", F.ceil(F.col("n") * PERCENT / 100)), F.least("high", F.floor(F.col("n") * 100 / PERCENT))
-    # what must be shared falls towards either end of the sizes
-    asked = asked.where((low <= high) & (F.col("shared") >= F.least(_must_share(F.col("n"), low), _must_share(F.col("n"), high))))
+    members = members.join(count, ["comp", "band"]).join(members.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+    members = cut(members.join(now.groupBy("sid").agg(F.first("must").alias("must")), "sid").select("sid", "n", "size", "must", F.xxhash64("comp", "band", F.pmod(F.xxhash64("sid"), F.col("groups"))).alias("g")))
+    least_of = members.groupBy("g").agg(F.min("must").alias("least"))
+    asked = _asked_groups(_shortened(now).join(members.select("sid", "g", "size"), "sid")).join(members.select("sid", "must"), "sid").join(least_of, "g")
+    asked = asked.where(F.col("shared") >= _few(F.least("must", "least")))
     asked = cut(asked.select("g", "sid"))
     comps = _joined(comps, _verified(asked, members.select("g", "sid"), texts)).withColumnRenamed("node", "sid")
     joined = sets.join(comps, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
