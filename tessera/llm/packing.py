@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import prepare
 
 SEQUENCE = 2048
-#: Pretokens whose ids a worker keeps (about 100 MB); the first ones seen, which are the frequent ones, stay.
-CACHED_PRETOKENS = 400_000
+#: Pretokens whose ids a worker keeps (about 50 MB); the first ones seen, which are the frequent ones, stay.
+CACHED_PRETOKENS = 200_000
 
 # Pretokens of the vocabulary's own pattern, for lower-case text of ASCII and Latin-1 characters only.
 _PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿªµº]+|[0-9²³¹¼½¾]|[^\\sa-zß-öø-ÿªµº0-9²³¹¼½¾]+")
