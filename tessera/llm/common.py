@@ -30,7 +30,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     for name, value in _WORKER_ENV.items():
         env.setdefault(name, value)
-    if spark.conf.get(_BATCH, "") in ("64m", "64MB", "67108864", "67108864b"):
+    if spark.conf.get(_BATCH, "64m") in ("64m", "67108864", "67108864b"):
         spark.conf.set(_BATCH, "16m")
     return spark
 
