@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import order_by
+from tessera.queries import functions as _functions
+from tessera.queries import languages as _languages
+from tessera.queries import relational as _relational
+from tessera.queries.registry import ORACLE_SQL, QUERIES, query, t
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
-def flagship_revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("""
+    SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n_lines
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    WHERE l_discount > 0.02 GROUP BY n_name HAVING count(*) > 10 ORDER BY revenue DESC, n_name LIMIT 10""")
+def flagship_revenue_by_nation(spark, d):
     """Scan, filter, four-way join, grouping, HAVING and a top-k."""
-    t = lambda name: _table(spark, sf_dir, name)
-    sales = t("lineitem").where("l_discount > 0.02").join(t("orders"), F.expr("l_orderkey = o_orderkey"))
-    sales = sales.join(t("customer"), F.expr("o_custkey = c_custkey")).join(t("nation"), F.expr("c_nationkey = n_nationkey"))
+    sales = t(spark, d, "lineitem").where("l_discount > 0.02").join(t(spark, d, "orders"), F.expr("l_orderkey = o_orderkey"))
+    sales = sales.join(t(spark, d, "customer"), F.expr("o_custkey = c_custkey")).join(t(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))
     out = sales.groupBy("n_name").agg(F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"), F.count("*").alias("n_lines"))
-    return out.where("n_lines > 10").orderBy(F.desc_nulls_first("revenue"), F.asc_nulls_last("n_name")).limit(10)
+    return order_by(out.where("n_lines > 10"), "revenue desc", "n_name").limit(10)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"flagship_revenue_by_nation": flagship_revenue_by_nation}
-ORACLE_SQL: dict[str, str] = {
-    "flagship_revenue_by_nation": """
-        SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n_lines
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-        WHERE l_discount > 0.02 GROUP BY n_name HAVING count(*) > 10 ORDER BY revenue DESC, n_name LIMIT 10""",
-}
+_AREAS = (_functions, _languages, _relational)  # importing them registers their queries
