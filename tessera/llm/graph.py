@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut
 
 
+#: Few edges stay in few partitions, of so many each, as every round shuffles them several times.
+LEAST_PARTS, PART_EDGES = 8, 500_000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node of an edge, component being the least node reached.
 
@@ -18,6 +22,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     now = cut(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     print_now = _print(now)
+    parts = max(LEAST_PARTS, print_now[0] // PART_EDGES)
+    now = now.coalesce(parts)
     while print_now[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -26,7 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = cut(small.where("u <> v").distinct())
+        after = cut(small.where("u <> v").distinct().coalesce(parts))
         print_after = _print(after)
         if print_after == print_now:
             break
