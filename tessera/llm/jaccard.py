@@ -33,11 +33,11 @@ SALT_ROWS = 50_000
 #: Sets of a group, and so texts that a task holds at once.
 GROUP = 32
 #: Rounds of linking sets to shared leaders before the matrix is asked.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 #: Rounds of leaving out sets that no longer share enough with other components.
-PARTNER_ROUNDS = 2
+PARTNER_ROUNDS = 1
 #: Tokens that a query and a group must share, of the first of those that they must share.
-FEW = 2
+FEW = 1
 #: Ids that are broadcast to pick texts (16 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -273,14 +273,14 @@ def _partners(postings: DataFrame, sets: DataFrame) -> DataFrame:
     high = F.least(F.ceil(F.pow(F.lit(_BAND), at + 1)), F.floor(F.col("n") * 100 / PERCENT))
     able = shared.withColumn("must", F.least(_must_share(F.col("n"), low), _must_share(F.col("n"), high))).where((low <= high) & (F.col("shared") >= F.col("must")))
     able = able.groupBy("sid").agg(F.sum(F.expr(f"shiftleft(1, int(step) + {_REACH})")).alias("mask"), F.greatest(F.min("must"), F.lit(1)).alias("must"))
-    left = postings.drop("mask", "must").join(able, "sid")
-    many = left.groupBy("base").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("base")
+    left = postings.drop("mask", "must", "sets").join(able, "sid")
+    many = left.groupBy("base").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("sets")).where("x <> y").select("base", "sets")
     return cut(left.join(many, "base"))
 
 
 def _shortened(postings: DataFrame) -> DataFrame:
-    """The first tokens of each set's, by their ids, of which two sets share ``_few`` at least if they share as many as they must."""
-    order = Window.partitionBy("sid").orderBy("base")
+    """The first tokens of each set's, those of fewest sets, of which two sets share ``_few`` at least if they share as many as they must."""
+    order = Window.partitionBy("sid").orderBy("sets", "base")
     counted = postings.withColumns({"k": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("sid"))})
     return counted.where(F.col("k") <= F.col("all") - F.col("must") + _few(F.col("must"))).drop("k", "all")
 
@@ -413,7 +413,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document's set is that of its 5-word shingles over ASCII-folded words. Documents with equal sets are
     one from the start. Of every set the prefix that must share tokens with any set it links to is dealt by
-    token, common tokens last; token lists shrink a few times to links with a leader, verified exactly; what
+    token, common tokens last; token lists shrink to links with a leader, verified exactly; what
     still joins two components is asked of the token-group matrix, and a link between any two sets is found
     there if not before. All work on a list is linear but the last, where groups are pruned by their bound.
     Null texts and texts without words have an empty set, link to nothing and are a component of their
