@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import collections as C
-from tessera.functions import core, crypto, geometry, similarity, trees, vectors
+from tessera.functions import citext, core, crypto, geometry, similarity, trees, vectors
+from tessera.functions.phonetics import metaphone_column
 from tessera.queries.registry import query, sql_query, t
 from tessera.search import fts
 from tessera.search import vectors as V
@@ -242,3 +243,14 @@ def fts_match_simple(spark, d):
 def fts_headline(spark, d):
     q = fts.plainto_tsquery("part")
     return t(spark, d, "part").select("p_partkey", fts.ts_headline(q)(F.col("p_name")).alias("headline"))
+
+
+@query()
+def metaphone_codes(spark, d):
+    return t(spark, d, "part").select("p_partkey", metaphone_column(10)(F.col("p_name")).alias("code"))
+
+
+@query("SELECT n_nationkey, lower(n_name) = 'nation_3' AS same, CAST(CASE WHEN lower(n_name) < 'nation_3' THEN -1 WHEN lower(n_name) > 'nation_3' THEN 1 ELSE 0 END AS INTEGER) AS cmp FROM nation")
+def citext_compare(spark, d):
+    other = F.lit("Nation_3")
+    return t(spark, d, "nation").select("n_nationkey", citext.citext_eq(F.col("n_name"), other).alias("same"), citext.citext_cmp(F.col("n_name"), other).alias("cmp"))

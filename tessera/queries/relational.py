@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import core
-from tessera.operators import dml, recursive
+from tessera.operators import ddl, dml, recursive
 from tessera.operators import relational as R
 from tessera.queries.registry import query, sql_query, t
 from tessera.sources import stores
@@ -312,3 +312,15 @@ def rls_policies(spark, d):
 @query("SELECT c_custkey FROM customer WHERE false")
 def rls_default_deny(spark, d):
     return dml.secured(t(spark, d, "customer"), []).select("c_custkey")
+
+
+@query("SELECT c_custkey AS id, CAST(sign(c_acctbal) * floor(abs(c_acctbal) + 0.5) AS BIGINT) AS c_acctbal, 'new' AS note FROM customer")
+def ddl_alter_table(spark, d):
+    df = ddl.drop_column(t(spark, d, "customer").drop("c_name", "c_nationkey"), "c_mktsegment")
+    return ddl.add_column(ddl.alter_type(ddl.rename_column(df, "c_custkey", "id"), "c_acctbal", "bigint"), "note", "text", F.lit("new"))
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey = 1")
+def ddl_view(spark, d):
+    ddl.create_view(t(spark, d, "nation").where("n_regionkey = 1"), "tessera_view")
+    return spark.sql("SELECT n_name FROM tessera_view")

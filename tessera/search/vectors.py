@@ -166,3 +166,13 @@ def context(retrieved: DataFrame, most: int = 8192, separator: str = "\n\n---\n\
         ),
     )
     return retrieved.agg(F.when(F.count("*") > 0, grown["t"]).otherwise("").alias("context"))
+
+
+def embed_stream(feed: DataFrame, rule: Rule, target: str, checkpoint: str):
+    """Embeds the rows of a stream as they come: each batch's new texts are appended to a Parquet folder with vector and hash."""
+
+    def one(batch: DataFrame, _: int) -> None:
+        rows = batch.where(F.col(rule.text).isNotNull() & (F.col(rule.text) != ""))
+        refresh(rows, rule).write.mode("append").parquet(target)
+
+    return feed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import collections as C
 from tessera.functions import core, crypto, geometry, routines, similarity, trees, vectors
+from tessera.functions.phonetics import metaphone
 from tessera.search import fts
 from tessera.search import vectors as V
 from tessera.types import spark_type, to_bool, to_int
@@ -160,3 +161,8 @@ def test_routines(spark):
     body = "DECLARE x int; BEGIN x := a + 1; IF x > 3 THEN IF x > 9 THEN RETURN 'huge'; END IF; RETURN 'big'; END IF; RETURN 'small'; END;"
     routines.create_plpgsql_function(spark, "tessera_t2", [("a", "int")], "text", body)
     assert tuple(spark.sql("SELECT tessera_t1(6, 7), tessera_t1(NULL, 7), tessera_t2(1), tessera_t2(3), tessera_t2(20)").first()) == (42, None, "small", "big", "huge")
+
+
+@pytest.mark.parametrize(("word", "code"), [("Knight", "NT"), ("phone", "FN"), ("wright", "RT"), ("school", "SKL"), ("nation", "NXN"), ("judge", "JJ"), ("", ""), ("Xavier", "SFR"), ("thumb", "0M")])
+def test_metaphone(word, code):
+    assert metaphone(word) == code
