@@ -258,16 +258,36 @@ def _partners(postings: DataFrame, sets: DataFrame) -> DataFrame:
         order = np.lexsort((comp, code))
         start = _runs(code[order])
         codes, first, last = code[order][start], comp[order][start], comp[order][np.append(start[1:], len(code)) - 1]
-        out = []
-        for step in range(-_REACH, _REACH + 1):
+        own, at_own = np.unique(sid, return_inverse=True)
+        counts = []
+        for step in steps:
             at = np.minimum(np.searchsorted(codes, code + step), len(codes) - 1)
             hit = (codes[at] == code + step) & ((first[at] != comp) | (last[at] != comp))
-            found, shared = np.unique(sid[hit], return_counts=True)
-            out.append((found, np.full(len(found), step, np.int64), shared.astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["sid", "step", "shared"])
-
-    dealt = postings.select("base", "comp", "sid", "n").repartition("base")
-    shared = dealt.mapInArrow(run, "sid long, step long, shared long").groupBy("sid", "step").agg(F.sum("shared").alias("shared")).join(sets.select("sid", "n"), "sid")
+            counts.append(np.bincount(at_own[hit], minlength=len(own)))
+        rows = np.empty(len(own), kind)
+        rows["sid"], rows["shared"] = own, np.stack(counts, 1)
+        bucket = (mix(own.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends, rows = np.searchsorted(bucket[order], np.arange(buckets + 1)), rows[order]
+        full = np.flatnonzero(np.diff(ends))
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "rows"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(r, kind) for batch in batches for r in batch.column(1).to_pylist()]
+        if not parts:
+            return
+        rows = np.concatenate(parts)
+        sid, at = np.unique(rows["sid"], return_inverse=True)
+        total = np.zeros((len(sid), len(steps)), np.int64)
+        np.add.at(total, at, rows["shared"])
+        row, step = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(sid[row]), pa.array(step - _REACH), pa.array(total[row, step])], ["sid", "step", "shared"])
+
+    steps = range(-_REACH, _REACH + 1)
+    kind = np.dtype([("sid", "<i8"), ("shared", "<i4", (len(steps),))])
+    buckets = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings.select("base", "comp", "sid", "n").repartition("base").mapInArrow(run, "bucket int, rows binary")
+    shared = dealt.repartition(buckets, "bucket").mapInArrow(add, "sid long, step long, shared long").join(sets.select("sid", "n"), "sid")
     at = F.floor(F.log("n") / F.log(F.lit(_BAND))) + F.col("step")
     low = F.greatest(F.floor(F.pow(F.lit(_BAND), at)), F.ceil(F.col("n") * PERCENT / 100))
     high = F.least(F.ceil(F.pow(F.lit(_BAND), at + 1)), F.floor(F.col("n") * 100 / PERCENT))
@@ -439,7 +459,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps = _joined(comps, found)
     now = _with_components(postings, comps)
     mixed = now.groupBy("base").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("base")
-    now = now.join(mixed, "base").join(sets.select("sid", "n"), "sid").select("base", "comp", "sid", "n")
+    now = _able(now.join(mixed, "base"), sets).join(sets.select("sid", "n"), "sid").select("base", "comp", "sid", "n")
     for _ in range(PARTNER_ROUNDS):  # who goes takes partners from others
         now = _partners(now, sets)
     members = now.select("comp", "sid", "n").distinct().withColumn("band", F.floor(F.log("n") / F.log(F.lit(_BAND))))
