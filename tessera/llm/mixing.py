@@ -98,8 +98,10 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
     spark = docs.sparkSession
     light = docs.select(F.col(id_col).alias("id"), F.col(source).alias("s"), F.col(size).alias("size")).where("size > 0").withColumn("band", _band(F.col("size")))
     found: dict = {}
-    for s, band, n in light.groupBy("s", "band").agg(F.sum("size")).toLocalIterator():  # as many rows as sources by 63 bands
+    numbers: dict = {}
+    for s, band, n, rows_there in light.groupBy("s", "band").agg(F.sum("size"), F.count("*")).toLocalIterator():  # as many rows as sources by 63 bands
         found.setdefault(s, {})[band] = n
+        numbers[s, band] = rows_there
     targets = source_targets([(s, sum(b.values())) for s, b in found.items()], weights, share, most)
     rows, need = [], {}
     for s, bands in found.items():
@@ -115,6 +117,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
     ranked = light.join(send(base), F.col("s").eqNullSafe(F.col("s2")) & (F.col("band") == F.col("band2"))).where("odds > 0")
     ranked = cut(ranked.select("s", "size", F.coalesce("id", F.lit(-1)).alias("id"), _rank(F.col("id"), F.col("size"), F.col("odds"), seed).alias("rank")))
     low, width, have, open_ = {s: 0.0 for s in found}, 1.0, {s: 0 for s in found}, {s for s in found if need[s] > 0}
+    span: dict = {}  # the width of the bucket where a source's target falls
     for _ in range(4):  # each round looks into the bucket of the last where the target falls
         ask = spark.createDataFrame([(s, low[s], float(need[s] - have[s])) for s in open_], "s3 string, low double, need double")
         inside = ranked.join(send(ask), F.col("s").eqNullSafe(F.col("s3"))).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + width))
@@ -126,12 +129,16 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
             low |= {s: 2.0 for s in open_ - {r.s for r in hit}}  # all of it is too little
         width, open_ = width / RANK_BUCKETS, {r.s for r in hit if r.n > NEXT_ROWS // 2}
         for r in hit:
-            low[r.s], have[r.s] = low[r.s] + r.bucket * width, have[r.s] + r.before
+            low[r.s], have[r.s], span[r.s] = low[r.s] + r.bucket * width, have[r.s] + r.before, width
         if not open_:
             break
     # Ranks below ``low`` are in. Of the next documents in order those go in that still fit, then one more if that is nearer.
-    ask = spark.createDataFrame([(s, low[s]) for s in found if need[s] > 0 and low[s] < 2], "s3 string, low double")
-    near = ranked.join(send(ask), F.col("s").eqNullSafe(F.col("s3"))).where(F.col("rank") >= F.col("low"))
+    # They are looked for in a stretch of ranks that should hold some times as many, not in all of a source.
+    part = {r[0]: 0 for r in rows}
+    for r in rows:
+        part[r[0]] += numbers[r[0], r[1]] if r[5] > 0 else 0
+    ask = spark.createDataFrame([(s, low[s], low[s] + max(span.get(s, 1.0), 4 * NEXT_ROWS / max(1, part[s]))) for s in found if need[s] > 0 and low[s] < 2], "s3 string, low double, high double")
+    near = ranked.join(send(ask), F.col("s").eqNullSafe(F.col("s3"))).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     near = near.groupBy("s", "rank", "id", "size").agg((F.count("*") * F.col("size")).alias("words"))  # repeated rows go together
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("rank", "id", "size"))).where(F.col("n") <= NEXT_ROWS)
     following: dict = {}
