@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import prepare
 
 SEQUENCE = 2048
-#: Pretokens whose ids a worker keeps (about 50 MB); the first ones seen, which are the frequent ones, stay.
-CACHED_PRETOKENS = 200_000
+#: Pretokens whose ids a worker keeps (about 70 MB); those that are met again, first come first kept.
+CACHED_PRETOKENS = 300_000
 
 # Pretokens of the vocabulary's own pattern, for lower-case text of ASCII and Latin-1 characters only.
 _PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿªµº]+|[0-9²³¹¼½¾]|[^\\sa-zß-öø-ÿªµº0-9²³¹¼½¾]+")
@@ -31,13 +31,16 @@ class PretokenIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.met = Tokenizer.from_file(path), bytearray(1 << 22)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
         if len(self) < CACHED_PRETOKENS:
-            self[word] = ids
+            k = hash(word) & len(self.met) - 1
+            if self.met[k]:
+                self[word] = ids
+            self.met[k] = 1
         return ids
 
     def encode(self, text: str) -> bytes:
