@@ -440,6 +440,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own; null ids are never a component's id unless all are; an empty table gives no row; other columns
     aren't read. Repeated rows are one set and share their component.
     """
+    return _components(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, component_id)``."""
     spark = prepare(docs.sparkSession)
     light = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     every = cut(_sets(light))
@@ -474,7 +479,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = sets.join(comps, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     out = rows.join(joined.join(least, "component").select("sid", "component_id"), "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -490,8 +495,9 @@ def _with_components(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with the smallest id of each component, with all their columns; documents without words all stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct())
+    """The rows with the smallest id of each component, with all their columns; documents without words and rows without id all stay."""
+    found = _components(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = cut(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
+    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

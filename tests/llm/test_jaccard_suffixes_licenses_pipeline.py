@@ -97,6 +97,8 @@ def test_near_duplicates_of_odd_rows(spark):
     found = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
     key = lambda r: str(r)
     assert sorted([tuple(r) for r in found], key=key) == sorted([(5, 3, 2), (5, 3, 2), (None, 3, 2), (2, 3, 2), (None, 0, None), (9, 1, 8), (8, 1, 8)], key=key)
+    twice = spark.createDataFrame([(1, "a b c d e f g", 0, ""), (2, "a b c d e f g", 0, ""), (2, "another text with this id", 0, "")], DOCS)
+    assert sorted((r.doc_id, r.text[:3]) for r in jaccard.keep_one_of_each(twice).collect()) == [(1, "a b"), (2, "ano")]
     empty = spark.createDataFrame([], DOCS)
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one_of_each(empty).count() == 0
     assert jaccard.near_duplicates(spark.createDataFrame([(1, None, 0, "")], DOCS)).count() == 1
