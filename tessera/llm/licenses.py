@@ -37,6 +37,8 @@ FILE_SHARE = 0.5
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.(txt|md|rst))?$"
 
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: A statement speaks of licences if it holds one of these.
+_SPEAKS = r"licen|copyright|permission|redistribut|public domain|unencumbered|\bcc0?\b|\bbsd\b"
 
 
 def terms(text: Column) -> Column:
@@ -58,8 +60,8 @@ def scan_statements(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, license, cosine, words, licensed_words)``: each document's best statement and how much of it is such.
 
     Terms weigh log((1 + documents) / (1 + documents with the term)) + 1, counted over all documents. Only
-    template terms need counting; any other counts as in one document. A statement is compared if it
-    holds at least one of the templates' rarest terms, those in under a tenth of the documents.
+    template terms need counting; any other counts as in one document. Every statement that speaks of
+    licences by one of ``_SPEAKS`` is compared, however common its terms are.
     """
     wanted = _template_terms(docs)
     vocabulary = sorted({t for ts in wanted for t in ts})
@@ -68,11 +70,10 @@ def scan_statements(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     count, df = light.count(), dict(held.groupBy("term").count().collect())  # as many rows as template terms
     idf = {t: math.log((1 + count) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
     other = math.log((1 + count) / 2) + 1
-    rare = [t for t in vocabulary if df.get(t, 0) < max(2, count / 10)]
     weight = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, idf[t])])
     words = terms(F.col("s"))
-    said = light.select("id", F.size(terms(F.col("text"))).alias("words"), F.explode_outer(F.filter(statements(F.col("text")), lambda s: ascii_lower(s).rlike("licen|copyright|permission|redistribut|public domain|unencumbered|\\bcc0?\\b|\\bbsd\\b"))).alias("s"))
-    said = said.withColumn("terms", words).withColumn("terms", F.when(F.arrays_overlap("terms", F.array(*map(F.lit, rare))), F.col("terms")) if rare else F.col("terms"))
+    said = light.select("id", F.size(terms(F.col("text"))).alias("words"), F.explode_outer(F.filter(statements(F.col("text")), lambda s: ascii_lower(s).rlike(_SPEAKS))).alias("s"))
+    said = said.withColumn("terms", words)
     distinct = F.array_distinct("terms")
     counted = F.transform(distinct, lambda t: F.struct(t.alias("t"), (F.size(F.filter("terms", lambda x: x == t)) * F.coalesce(F.element_at(weight, t), F.lit(other))).alias("w")))
     vector = F.map_from_entries(counted)

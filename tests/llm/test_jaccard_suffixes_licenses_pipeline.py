@@ -163,6 +163,15 @@ def test_licenses(spark):
     assert licenses.licenses(docs.limit(0)).count() == 0
 
 
+def test_common_licence_statements_count(spark):
+    rows = [(i, f"s{i % 3}/{i}", "Licensed under CC BY-SA 4.0" if i % 3 == 0 else f"words {i} of a text", 1) for i in range(60)]
+    rows += [(60, "t/60", "Released under the MIT License", 1), (61, "t/61", "Released under the MIT License", 1)]
+    for some in (rows, rows[-2:]):
+        docs = spark.createDataFrame(some, "doc_id long, path string, text string, license int")
+        got = {r.id: (r.license, r.cosine and round(r.cosine, 9)) for r in licenses.scan_statements(docs, "doc_id", "text").collect()}
+        assert got == {i: ("CC-BY-SA-4.0", 1.0) if t.startswith("Lic") else ("MIT", 1.0) if t.startswith("Rel") else (None, None) for i, _, t, _ in some}
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(1)
     lines = {"en": "the of and that this with from have", "de": "der die und nicht eine mit von auch"}
