@@ -34,6 +34,8 @@ TEMPLATES = (
 LEAST_COSINE = 0.7
 #: A document of whose words statements make up this share is a licence file, as is one so named.
 FILE_SHARE = 0.5
+#: Terms of most documents, whose counts are sent to every task; other counts are joined by term.
+COMMON_TERMS = 10_000
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.(txt|md|rst))?$"
 
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -59,35 +61,48 @@ def _template_terms(docs: DataFrame) -> list[list[str]]:
 def scan_statements(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, license, cosine, words, licensed_words)``: each document's best statement and how much of it is such.
 
-    Terms weigh log((1 + documents) / (1 + documents with the term)) + 1, counted over all documents. Only
-    template terms need counting; any other counts as in one document. Every statement that speaks of
-    licences by one of ``_SPEAKS`` is compared, however common its terms are.
+    Terms weigh log((1 + documents) / (1 + documents with the term)) + 1, counted over all documents. Every
+    statement that speaks of licences by one of ``_SPEAKS`` is compared, however common its terms are. Terms
+    that no template has only lengthen a statement's vector, each by its number at least; their counts are
+    joined to the statements that are still similar enough by that bound, the most common ones by broadcast.
     """
     wanted = _template_terms(docs)
     vocabulary = sorted({t for ts in wanted for t in ts})
+    known = F.array(*map(F.lit, vocabulary))
     light = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    held = light.select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("term"))
-    count, df = light.count(), dict(held.groupBy("term").count().collect())  # as many rows as template terms
+    held = light.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    held = cut(held.where((F.col("df") > 1) | F.col("term").isin(vocabulary)))  # a term of a statement is in one document at least
+    count, df = light.count(), dict(held.where(F.col("term").isin(vocabulary)).collect())  # as many rows as template terms
     idf = {t: math.log((1 + count) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
-    other = math.log((1 + count) / 2) + 1
     weight = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, idf[t])])
-    words = terms(F.col("s"))
+    number = lambda t: F.size(F.filter("terms", lambda x: x == t))
+    squares = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x * x)
     said = light.select("id", F.size(terms(F.col("text"))).alias("words"), F.explode_outer(F.filter(statements(F.col("text")), lambda s: ascii_lower(s).rlike(_SPEAKS))).alias("s"))
-    said = said.withColumn("terms", words)
-    distinct = F.array_distinct("terms")
-    counted = F.transform(distinct, lambda t: F.struct(t.alias("t"), (F.size(F.filter("terms", lambda x: x == t)) * F.coalesce(F.element_at(weight, t), F.lit(other))).alias("w")))
-    vector = F.map_from_entries(counted)
-    norm = F.sqrt(F.aggregate(F.map_values("v"), F.lit(0.0), lambda a, x: a + x * x))
-    cosines = []
+    said = said.withColumn("terms", terms(F.col("s")))
+    own_terms = F.transform(F.array_intersect("terms", known), lambda t: F.struct(t.alias("t"), (number(t) * F.element_at(weight, t)).alias("w")))
+    said = said.withColumn("v", F.map_from_entries(own_terms)).withColumn("others", F.transform(F.array_except("terms", known), lambda t: F.struct(t.alias("term"), number(t).alias("n"))))
+    dots = []
     for (name, _), ts in zip(TEMPLATES, wanted, strict=True):
         own = {t: ts.count(t) * idf[t] for t in ts}
         size = sum(x * x for x in own.values()) ** 0.5
         dot = sum((F.coalesce(F.element_at("v", F.lit(t)), F.lit(0.0)) * F.lit(x / size) for t, x in own.items()), F.lit(0.0))
-        cosines.append(F.struct((dot / F.col("norm")).alias("cosine"), F.lit(name).alias("license")))
-    scored = said.withColumn("v", F.when(F.size("terms") > 0, vector)).withColumn("norm", norm).withColumn("best", F.when(F.col("norm") > 0, F.array_max(F.array(*cosines))))
-    good = F.col("best.cosine") >= LEAST_COSINE
+        dots.append(F.struct(dot.alias("dot"), F.lit(name).alias("license")))
+    said = said.withColumn("best", F.array_max(F.array(*dots))).withColumn("square", squares(F.map_values("v")))
+    bound = F.sqrt(F.col("square") + squares(F.transform("others", lambda o: o["n"].cast("double"))))
+    near = F.col("best.dot") >= (LEAST_COSINE - 1e-9) * bound
+    scored = said.select("id", "words", F.size("terms").alias("size"), F.when(near, F.col("best")).alias("best"), "square", F.when(near, F.col("others")).alias("others"))
+    scored = cut(scored.withColumn("key", F.monotonically_increasing_id()))
+    met = scored.select("key", F.explode("others").alias("o")).select("key", "o.term", "o.n")
+    common = held.orderBy(F.desc("df"), "term").limit(COMMON_TERMS)
+    met = met.join(F.broadcast(common), "term", "left")
+    met = met.where("df is not null").unionByName(met.where("df is null").drop("df").join(held, "term", "left"))
+    idf_of = F.log(F.lit(1.0 + count) / (1 + F.coalesce("df", F.lit(1)))) + 1
+    more = met.groupBy("key").agg(F.sum(F.pow(F.col("n") * idf_of, F.lit(2))).alias("more"))
+    scored = scored.drop("others").join(more, "key", "left")
+    scored = scored.withColumn("cosine", F.when(F.col("best.dot") > 0, F.col("best.dot") / F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))))
+    good = F.col("cosine") >= LEAST_COSINE
     return scored.groupBy("id").agg(
-        F.max(F.when(good, F.col("best"))).alias("best"), F.max("words").alias("words"), F.coalesce(F.sum(F.when(good, F.size("terms"))), F.lit(0)).alias("licensed_words")
+        F.max(F.when(good, F.struct("cosine", "best.license"))).alias("best"), F.max("words").alias("words"), F.coalesce(F.sum(F.when(good, F.col("size"))), F.lit(0)).alias("licensed_words")
     ).select("id", "best.license", "best.cosine", "words", "licensed_words")
 
 

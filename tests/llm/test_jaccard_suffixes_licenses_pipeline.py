@@ -172,6 +172,28 @@ def test_common_licence_statements_count(spark):
         assert got == {i: ("CC-BY-SA-4.0", 1.0) if t.startswith("Lic") else ("MIT", 1.0) if t.startswith("Rel") else (None, None) for i, _, t, _ in some}
 
 
+def test_licence_weights_are_counted_over_all_terms(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "COMMON_TERMS", 3)
+    rng = random.Random(3)
+    notes = [t for _, t in licenses.TEMPLATES]
+    rows = [(i, " ".join(rng.choices(["freely", "today", "and", "more", f"only{i}"], k=6)) + ". " + (rng.choice(notes) + rng.choice(["", " freely", " today only", f" only{i}"]) if i % 2 else "")) for i in range(200)] + [(200, None), (201, "")]
+    split = lambda s: re.findall(licenses._TERM, s.lower())
+    df = {}
+    for _, t in rows:
+        for w in set(split(t or "")):
+            df[w] = df.get(w, 0) + 1
+    vector = lambda s: {w: split(s).count(w) * (np.log((1 + len(rows)) / (1 + df.get(w, 0))) + 1) for w in split(s)}
+    size = lambda v: sum(x * x for x in v.values()) ** 0.5
+    cosine = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items()) / size(a) / size(b)
+    want = {}
+    for i, t in rows:
+        best = max(((cosine(vector(s), vector(n)), name) for s in re.split(r"(?<=[.!?;])\s+", t or "") if re.search(licenses._SPEAKS, s.lower()) for name, n in licenses.TEMPLATES), default=(0, None))
+        want[i] = (best[1], round(best[0], 9)) if best[0] >= licenses.LEAST_COSINE else (None, None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.id: (r.license, r.cosine and round(r.cosine, 9)) for r in licenses.scan_statements(docs, "doc_id", "text").collect()}
+    assert got == want and sum(x is not None for x, _ in got.values()) > 80
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(1)
     lines = {"en": "the of and that this with from have", "de": "der die und nicht eine mit von auch"}
