@@ -104,6 +104,26 @@ def test_near_duplicates_of_odd_rows(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([(1, None, 0, "")], DOCS)).count() == 1
 
 
+def test_least_shared_tokens_of_a_band(spark):
+    must = lambda n, m: -(-(n + m) * 75 // 175) - np.maximum(-(-n * 75 // 100) - 1 - n // 8, -(-m * 75 // 100) - 1 - m // 8)
+    rows = []
+    for n in [*range(1, 400), *range(5000, 5056), *range(20_000, 20_056)]:
+        for step in range(-jaccard._REACH, jaccard._REACH + 1):
+            at = int(jaccard._band(np.int64(n))) + step
+            low, high = max(int(jaccard._BAND**at), -(-n * 75 // 100)), min(int(np.ceil(jaccard._BAND ** (at + 1))), n * 100 // 75)
+            if low <= high:
+                rows.append((n, low, high, int(must(n, np.arange(low, high + 1)).min())))
+    bands = spark.createDataFrame(rows, "n long, low long, high long, want long")
+    assert bands.where(jaccard._least_must_share(F.col("n"), F.col("low"), F.col("high")) != F.col("want")).count() == 0
+    assert sum(min(must(n, a), must(n, b)) > w for n, a, b, w in rows) > 100
+
+
+def test_partners_of_sizes_inside_a_band(spark):
+    sets = spark.createDataFrame([(1, 18), (2, 19)], "sid long, n long")
+    postings = spark.createDataFrame([(k, s, s, n) for s, n in ((1, 18), (2, 19)) for k in range(4)], "base long, comp long, sid long, n long")
+    assert {(r.sid, r.must) for r in jaccard._partners(postings, sets).select("sid", "must").distinct().collect()} == {(1, 4), (2, 4)}
+
+
 def test_repeated_passages(spark):
     rng = random.Random(12)
     word = lambda: f"W{rng.randrange(900)}"
