@@ -188,6 +188,48 @@ def log_range_last(spark, d):
     return log.read_range(_log(spark, d), lt="h000200", amount=10).select("hash")
 
 
+def _whole_log(spark, d):
+    """All events as entries: each refers to its user's event before."""
+    name = lambda c: F.concat(F.lit("h"), F.lpad(c.cast("string"), 19, "0"))
+    before = F.expr("lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id)")
+    return t(spark, d, "events").select(name(F.col("event_id")).alias("hash"), F.col("event_type").alias("payload"), F.when(before.isNotNull(), F.array(name(before))).otherwise(F.array().cast("array<string>")).alias("next"), F.col("event_id").alias("time"), F.col("user_id").cast("string").alias("id"))
+
+
+_W = "'h' || lpad(CAST(event_id AS VARCHAR), 19, '0')"
+
+
+@query(f"SELECT {_W} AS hash FROM events QUALIFY event_id = max(event_id) OVER (PARTITION BY user_id)")
+def log_heads_whole(spark, d):
+    return log.heads(_whole_log(spark, d)).select("hash")
+
+
+@query(f"SELECT {_W} AS hash FROM events QUALIFY event_id = min(event_id) OVER (PARTITION BY user_id)")
+def log_tails_whole(spark, d):
+    return log.tails(_whole_log(spark, d)).select("hash")
+
+
+@query(f"SELECT {_W} AS hash FROM events")
+def log_join_whole(spark, d):
+    whole = _whole_log(spark, d)
+    return log.join(whole.where("payload <> 'click'"), whole.where("time >= 200 OR payload = 'click'")).select("hash")
+
+
+@query(f"SELECT {_W} AS hash FROM events WHERE event_id >= 300")
+def log_diff_whole(spark, d):
+    whole = _whole_log(spark, d)
+    return log.diff(whole, whole.where("time < 300")).select("hash")
+
+
+@query(f"SELECT {_W} AS hash FROM events WHERE event_id > 100")
+def log_range_whole(spark, d):
+    return log.read_range(_whole_log(spark, d), gt="h" + "100".zfill(19)).select("hash")
+
+
+@query(f"SELECT {_W} AS hash FROM events WHERE event_id < 900 ORDER BY event_id DESC LIMIT 10")
+def log_range_last_whole(spark, d):
+    return log.read_range(_whole_log(spark, d), lt="h" + "900".zfill(19), amount=10).select("hash")
+
+
 @query("SELECT user_id AS key, max_by(value, event_id) AS value FROM events GROUP BY user_id HAVING max_by(event_type, event_id) <> 'click'")
 def lww_last_writes(spark, d):
     ops = t(spark, d, "events").select(F.col("user_id").alias("key"), F.when(F.col("event_type") == "click", "DEL").otherwise("PUT").alias("op"), "value", F.col("event_id").alias("time"), F.lit("w").alias("id"), F.lit("h").alias("hash"))
