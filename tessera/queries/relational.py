@@ -236,6 +236,12 @@ def rec_reachable(spark, d):
     return recursive.recurse(spark.sql("SELECT 3L AS n"), lambda new: new.join(edges, new.n == edges.a).select("b"))
 
 
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem), r(n) AS (SELECT 3 UNION SELECT b FROM r JOIN e ON a = n) SELECT CAST(n AS BIGINT) AS n FROM r")
+def rec_reachable_whole(spark, d):
+    edges = t(spark, d, "lineitem").selectExpr("l_partkey AS a", "l_suppkey AS b").distinct()
+    return recursive.recurse(spark.sql("SELECT 3L AS n"), lambda new: new.join(edges, new.n == edges.a).select("b"))
+
+
 @query("WITH RECURSIVE up(k) AS (SELECT 24 UNION SELECT (k * 7 + 3) % 25 FROM up) SELECT k FROM up")
 def rec_cycle_sql(spark, d):
     return recursive.recurse_sql(spark, "up", "SELECT 24 AS k", "SELECT (k * 7 + 3) % 25 FROM up")
