@@ -9,10 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, prepare
+from tessera.llm.common import cut, prepare, whole_row
 
-#: Counters of a Misra-Gries summary, and so the most digests that are ever broadcast (about 100 bytes each).
-COUNTERS = 1024
+#: Counters of a Misra-Gries summary, and so the most digests that are ever broadcast (about 130 bytes each, 9 MB in all).
+COUNTERS = 65_536
 
 
 def merge_summary(counts: dict, more: Iterable[tuple[object, int]], counters: int) -> dict:
@@ -26,10 +26,11 @@ def merge_summary(counts: dict, more: Iterable[tuple[object, int]], counters: in
 
 
 def misra_gries(df: DataFrame, column: str, counters: int = COUNTERS) -> DataFrame:
-    """``(key, low)``: at most ``counters`` values of a column, the most frequent by the lower bound ``low``.
+    """``(key, low)``: at most ``counters`` values of a column, those that surely make up one in ``counters`` rows or more.
 
-    Each task keeps a summary of its rows; the summaries are added up by key. A value's bound is short of
-    its count by at most one in ``counters + 1`` of all rows, and one for each task. Nulls don't count.
+    Each task keeps a summary of its rows; the summaries are added up by key. A value's bound ``low`` is
+    short of its count by at most one in ``counters + 1`` of all rows, and one for each task, so that a value
+    of more than twice that share is always found. Values met once don't count, nor do nulls.
     """
     prepare(df.sparkSession)
 
@@ -42,7 +43,8 @@ def misra_gries(df: DataFrame, column: str, counters: int = COUNTERS) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["key", "low"])
 
     found = df.select(F.col(column).cast("string").alias("key")).mapInArrow(summaries, "key string, low long")
-    return found.groupBy("key").agg(F.sum("low").alias("low")).orderBy(F.desc("low"), "key").limit(counters)
+    least = max(2, -(-df.count() // counters))  # bounds add up to the rows at most, so no more than ``counters`` reach it
+    return found.groupBy("key").agg(F.sum("low").alias("low")).where(F.col("low") >= least)
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -79,12 +81,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows that ``exact_duplicates`` keeps, with all their columns.
+    """The rows that ``exact_duplicates`` keeps, with all their columns, whatever their names.
 
-    The losers of frequent digests go on the map side; what is left is shuffled once by digest.
+    The losers of frequent digests go on the map side, and of repeated winners all but one of a task; what is
+    left is shuffled once by digest.
     """
-    winners = _winners(_digests(docs, id_col, text_col), counters).select(F.col("text_sha256").alias("__sha"), F.col("best.doc_id").alias("__keep"), F.lit(True).alias("__often"))
-    marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(F.broadcast(winners), "__sha", "left")
-    marked = marked.where(F.col("__often").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
-    first = Window.partitionBy("__sha").orderBy(F.col(id_col).desc_nulls_last())
-    return marked.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    winners = _winners(_digests(docs, id_col, text_col), counters).select("text_sha256", F.col("best.doc_id").alias("keep"), F.lit(True).alias("often"))
+    marked = docs.select(whole_row(docs), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"))
+    marked = marked.join(F.broadcast(winners), "text_sha256", "left").where(F.col("often").isNull() | F.col("id").eqNullSafe(F.col("keep")))
+    first = Window.partitionBy("text_sha256").orderBy(F.col("id").desc_nulls_last())
+    return marked.withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
