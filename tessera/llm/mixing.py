@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, word_count
+from tessera.llm.common import cut, whole_row, word_count
 
 #: No document is taken more often than this, and no source's target is above so many times its size.
 MOST_COPIES = 3
@@ -62,60 +62,72 @@ def _band(size: Column) -> Column:
 
 
 class Plan:
-    """How often to take a document, as columns over its source, size and id; small enough to send to every task."""
+    """How often to take a document, as columns over its source, size and draw; small enough to send to every task."""
 
-    def __init__(self, spark: SparkSession, rows: list[tuple], wide: bool):
-        self.sources = spark.createDataFrame(rows, "__s string, __band int, __source_size long, __target double, __whole int, __odds double, __low double, __extras array<struct<rank:double,id:long,size:long>>")
-        self.wide = wide
+    def __init__(self, spark: SparkSession, bands: list[tuple], totals: list[tuple]):
+        self.bands = spark.createDataFrame(bands, "of string, band int, whole int, odds double, low double, extras array<long>")
+        self.totals = spark.createDataFrame(totals, "of string, source_size long, target double")
+        self.wide = len(totals) > BROADCAST_SOURCES
 
-    def copies(self, docs: DataFrame, id_col: str, source: str, size: Column, seed: int) -> DataFrame:
-        """Adds ``__size, __source_size, __target, __copies``."""
-        rows = docs.withColumn("__size", size)
-        table = self.sources if self.wide else F.broadcast(self.sources)
-        rows = rows.join(table, F.col(f"`{source}`").eqNullSafe(F.col("__s")) & (_band(F.col("__size")) == F.col("__band")), "left")
-        rank = _rank(F.col(id_col), F.col("__size"), F.col("__odds"), seed)
-        here = F.struct(rank.alias("rank"), F.coalesce(F.col(id_col), F.lit(-1)).alias("id"), F.col("__size").alias("size"))
-        extra = (F.col("__odds") > 0) & ((rank < F.col("__low")) | F.array_contains("__extras", here))
-        return rows.withColumn("__copies", F.coalesce(F.col("__whole"), F.lit(0)) + F.coalesce(extra, F.lit(False)).cast("int"))
+    def sent(self, table: DataFrame) -> DataFrame:
+        return table if self.wide else F.broadcast(table)
 
+    def copies(self, rows: DataFrame) -> DataFrame:
+        """Adds ``copies`` to rows with ``s``, ``size`` and ``draw``."""
+        table = self.bands.withColumnRenamed("band", "its_band")
+        rows = rows.join(self.sent(table), F.col("s").eqNullSafe(F.col("of")) & (_band(F.col("size")) == F.col("its_band")), "left")
+        extra = (F.col("odds") > 0) & ((_rank(F.col("draw"), F.col("odds")) < F.col("low")) | F.array_contains("extras", F.col("draw")))
+        return rows.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)) + F.coalesce(extra, F.lit(False)).cast("int"))
 
-def _rank(doc_id: Column, size: Column, odds: Column, seed: int) -> Column:
+
+def _draw(seed: int, doc_id: Column, text: Column) -> Column:
+    """A document's random number: a hash of its id and text."""
+    return F.xxhash64(F.lit(seed), doc_id, text)
+
+
+def _rank(draw: Column, odds: Column) -> Column:
     """A document's Pareto rank: the odds of a random number by the odds of its inclusion, brought into 0 to 1."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, size), 11) + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(draw, 11) + 0.5) / float(1 << 53)
     q = u / (1.0 - u) / F.nullif(odds, F.lit(0.0))
     return q / (1.0 + q)
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = MOST_COPIES, seed: int = 7, id_col: str = "doc_id", source: str = "source", size: str = "size") -> Plan:
-    """Targets, whole copies and sampling thresholds of every source.
+def _sized(docs: DataFrame, seed: int, id_col: str, source: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(*more, F.col(source).cast("string").alias("s"), word_count(F.col(text_col)).alias("size"), _draw(seed, F.col(id_col), F.col(text_col)).alias("draw"))
+
+
+def plan_mix(light: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = MOST_COPIES) -> Plan:
+    """Targets, whole copies and sampling thresholds of every source, for rows with ``s``, ``size`` and ``draw``.
 
     A source's target is spread over its documents as expected copies, more for longer ones; the whole
     part of them is certain. The rest are inclusion probabilities, unequal by size: documents are ordered
-    by the odds of a random number (a hash of id and size) over the odds of inclusion, and the first of
-    them are taken up to the words that the target still lacks, the last few as they fit. Histograms of
-    the ranks find where that is, so that no source is ever sorted or gathered as a whole.
+    by the odds of their random number over the odds of inclusion, and the first of them are taken up to the
+    words that the target still lacks. Histograms of the ranks find where that is, so that no source is
+    ever sorted or gathered as a whole. From the document on that no longer fits, those that do still go in,
+    and one more if that is nearer: a source misses its target by half that document's words at most.
+    The driver holds a row for each source and band of sizes (63 at most).
     """
-    spark = docs.sparkSession
-    light = docs.select(F.col(id_col).alias("id"), F.col(source).alias("s"), F.col(size).alias("size")).where("size > 0").withColumn("band", _band(F.col("size")))
+    spark = light.sparkSession
     found: dict = {}
     numbers: dict = {}
+    light = light.withColumn("band", _band(F.col("size")))
     for s, band, n, rows_there in light.groupBy("s", "band").agg(F.sum("size"), F.count("*")).toLocalIterator():  # as many rows as sources by 63 bands
         found.setdefault(s, {})[band] = n
         numbers[s, band] = rows_there
-    targets = source_targets([(s, sum(b.values())) for s, b in found.items()], weights, share, most)
+    totals = {s: sum(bands.values()) for s, bands in found.items()}
+    targets = source_targets(list(totals.items()), weights, share, most)  # sources without words have a weight too
     rows, need = [], {}
     for s, bands in found.items():
-        total = sum(bands.values())
+        bands.pop(0, None)  # documents without words
         copies = _expected_copies(bands, targets[s], most)
         whole = {b: min(most, int(e + 1e-12)) for b, e in copies.items()}
         part = {b: max(0.0, e - whole[b]) if whole[b] < most else 0.0 for b, e in copies.items()}
         need[s] = targets[s] - sum(whole[b] * n for b, n in bands.items())
-        rows += [(s, b, total, targets[s], whole[b], part[b] / (1 - part[b]) if part[b] > 1e-12 else 0.0) for b in bands]
-    wide = len(found) > BROADCAST_SOURCES
-    send = (lambda t: t) if wide else F.broadcast
-    base = spark.createDataFrame([(r[0], r[1], r[5]) for r in rows], "s2 string, band2 int, odds double")
+        rows += [(s, b, whole[b], part[b] / (1 - part[b]) if part[b] > 1e-12 else 0.0) for b in bands]
+    send = (lambda t: t) if len(found) > BROADCAST_SOURCES else F.broadcast
+    base = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "s2 string, band2 int, odds double")
     ranked = light.join(send(base), F.col("s").eqNullSafe(F.col("s2")) & (F.col("band") == F.col("band2"))).where("odds > 0")
-    ranked = cut(ranked.select("s", "size", F.coalesce("id", F.lit(-1)).alias("id"), _rank(F.col("id"), F.col("size"), F.col("odds"), seed).alias("rank")))
+    ranked = cut(ranked.select("s", "size", "draw", _rank(F.col("draw"), F.col("odds")).alias("rank")))
     low, width, have, open_ = {s: 0.0 for s in found}, 1.0, {s: 0 for s in found}, {s for s in found if need[s] > 0}
     span: dict = {}  # the width of the bucket where a source's target falls
     for _ in range(4):  # each round looks into the bucket of the last where the target falls
@@ -136,11 +148,11 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
     # They are looked for in a stretch of ranks that should hold some times as many, not in all of a source.
     part = {r[0]: 0 for r in rows}
     for r in rows:
-        part[r[0]] += numbers[r[0], r[1]] if r[5] > 0 else 0
+        part[r[0]] += numbers[r[0], r[1]] if r[3] > 0 else 0
     ask = spark.createDataFrame([(s, low[s], low[s] + max(span.get(s, 1.0), 4 * NEXT_ROWS / max(1, part[s]))) for s in found if need[s] > 0 and low[s] < 2], "s3 string, low double, high double")
     near = ranked.join(send(ask), F.col("s").eqNullSafe(F.col("s3"))).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    near = near.groupBy("s", "rank", "id", "size").agg((F.count("*") * F.col("size")).alias("words"))  # repeated rows go together
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("rank", "id", "size"))).where(F.col("n") <= NEXT_ROWS)
+    near = near.groupBy("s", "rank", "draw").agg(F.sum("size").alias("words"))  # repeated rows go together
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("rank", "draw"))).where(F.col("n") <= NEXT_ROWS)
     following: dict = {}
     for r in near.orderBy("s", "n").toLocalIterator():
         following.setdefault(r.s, []).append(r)
@@ -149,32 +161,30 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
         for r in some:
             if r.words <= need[s] - have[s]:
                 have[s] += r.words
-                extras[s].append((r["rank"], r.id, r["size"]))
+                extras[s].append(r.draw)
         gap = need[s] - have[s]
-        spare = [r for r in some if (r["rank"], r.id, r["size"]) not in set(extras[s])]
+        spare = [r for r in some if r.draw not in set(extras[s])]
         if spare and abs(gap - (best := min(spare, key=lambda r: abs(gap - r.words))).words) < gap:
-            extras[s].append((best["rank"], best.id, best["size"]))
-    return Plan(spark, [(*r[:6], low[r[0]] if need[r[0]] > 0 else 0.0, extras[r[0]]) for r in rows], wide)
+            extras[s].append(best.draw)
+    return Plan(spark, [(*r, low[r[0]] if need[r[0]] > 0 else 0.0, extras[r[0]]) for r in rows], [(s, n, float(targets[s])) for s, n in totals.items()])
 
 
 def mix_decisions(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = MOST_COPIES, seed: int = 7, id_col: str = "doc_id", source: str = "source", text_col: str = "text") -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` for every row.
 
-    A document's size is its number of words; documents without words are never taken. Reruns agree: the
-    random numbers are hashes of id and size, and rows that repeat both share one decision. Null sources
-    are one source, last in order. An empty table gives no row; other columns aren't read.
+    A document's size is its number of words; documents without words are never taken, but their sources
+    count among those that weights are dealt to. Reruns agree: the random numbers are hashes of id and text,
+    and rows that repeat both share one decision. Null sources are one source, last in order; null ids and
+    null texts count like others. An empty table gives no row; other columns aren't read.
     """
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text_col)).alias("size")))
-    plan = plan_mix(sized, weights, share, most, seed)
-    out = plan.copies(sized, "doc_id", "source", F.col("size"), seed)
-    totals = plan.sources.groupBy("__s").agg(F.first("__source_size").alias("n"), F.first("__target").alias("t")).select(F.col("__s").alias("s2"), "n", "t")
-    out = out.join(totals if plan.wide else F.broadcast(totals), F.col("source").eqNullSafe(F.col("s2")), "left")
-    return out.select("doc_id", "source", "size", F.coalesce("n", F.lit(0)).alias("source_size"), F.coalesce("t", F.lit(0.0)).alias("target"), F.col("__copies").alias("copies"), (F.col("size") * F.col("__copies")).alias("taken"))
+    light = cut(_sized(docs, seed, id_col, source, text_col, F.col(id_col).alias("doc_id"), F.col(source).alias("source")))
+    plan = plan_mix(light, weights, share, most)
+    out = plan.copies(light).drop("of").join(plan.sent(plan.totals), F.col("s").eqNullSafe(F.col("of")), "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = MOST_COPIES, seed: int = 7, id_col: str = "doc_id", source: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents that the mix takes, each as often as it takes it, with their columns."""
-    sized = cut(docs.select(id_col, source, word_count(F.col(text_col)).alias("size")))
-    plan = plan_mix(sized, weights, share, most, seed, id_col, source)
-    rows = plan.copies(docs, id_col, source, word_count(F.col(text_col)), seed).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the mix takes, each as often as it takes it, with all their columns, whatever their names."""
+    plan = plan_mix(cut(_sized(docs, seed, id_col, source, text_col)), weights, share, most)
+    rows = plan.copies(_sized(docs, seed, id_col, source, text_col, whole_row(docs))).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

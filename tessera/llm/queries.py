@@ -136,8 +136,8 @@ ORACLE_SQL = {
             FROM a JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p) GROUP BY page_id
         ),
         links AS (
-            SELECT host, path, addr, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS tag, 'href' AS kind FROM a
-            UNION ALL SELECT host, path, addr, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), 'url' FROM a
+            SELECT host, path, addr, unnest(regexp_extract_all(html, '(?is)<link\b[^<>]*\brel\s*=\s*["'']?canonical\b[^<>]*>')) AS tag, 'href' AS kind FROM a
+            UNION ALL SELECT host, path, addr, unnest(regexp_extract_all(html, '(?is)<meta\b[^<>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^<>]*>')), 'url' FROM a
         ),
         goal AS (
             SELECT host, path, addr, CASE WHEN kind = 'href' THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS t FROM links
@@ -154,8 +154,12 @@ ORACLE_SQL = {
             FROM full_goal WHERE regexp_extract(t, '^[^/?#]*') <> ''
         ),
         both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+        ends AS (SELECT DISTINCT u AS addr, regexp_extract(u, '^[^/?#]*') AS host, substr(regexp_extract(u, '^[^?#]*'), length(regexp_extract(u, '^[^/?#]*')) + 1) AS path FROM both_ways),
+        judged AS (
+            SELECT addr, max_by(verdict, length(h || p)) AS verdict FROM ends JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p) GROUP BY addr
+        ),
         reached(addr) AS (
-            SELECT DISTINCT addr FROM a JOIN own USING (page_id) WHERE own.verdict = 'block' AND addr IN (SELECT u FROM both_ways)
+            SELECT addr FROM judged WHERE verdict = 'block'
             UNION SELECT v FROM reached JOIN both_ways ON u = addr
         )
         SELECT a.page_id, a.host, a.path, own.rule, coalesce(own.verdict, CASE WHEN a.addr IN (SELECT addr FROM reached) THEN 'block' END, 'allow') AS verdict
