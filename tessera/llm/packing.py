@@ -12,10 +12,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import prepare
 
 SEQUENCE = 2048
+#: Windows that a task keeps open (8 MB of ids).
+OPEN_WINDOWS = 1024
+#: Bytes of an id.
+WIDTH = 4
 #: Pretokens whose ids a worker keeps (about 70 MB); those that are met again, first come first kept.
 CACHED_PRETOKENS = 300_000
 
@@ -91,51 +96,75 @@ class SumOfSquares:
         self.open[h + length].append(window)
         return None
 
-    def rest(self) -> Iterator[list]:
-        """The windows still open, the fullest first."""
-        for h in range(self.size, 0, -1):
-            yield from self.open[h]
-
-
-def pack(documents: Iterator[tuple[int | None, bytes]], size: int = SEQUENCE) -> Iterator[list[tuple]]:
+    def drain(self, last: bool) -> Iterator[list]:
+        """Empties the open windows, the fullest first, into full ones, items being cut at the edges.
+
+        What is left over, less than a window, stays open; or, at the ``last``, is cut into windows of powers of
+        two, which need no padding.
+        """
+        items = [item for h in range(self.size, 0, -1) for window in self.open[h] for item in window]
+        whole, rest = divmod(int(np.dot(self.levels, np.arange(self.size + 1))), self.size)
+        self.levels[:], self.open = 0, [[] for _ in range(self.size + 1)]
+        lengths = [self.size] * whole
+        if last:
+            yield from _recut(items, lengths + [1 << b for b in range(rest.bit_length())[::-1] if rest >> b & 1])
+            return
+        for window in _recut(items, lengths + [rest] * (rest > 0)):
+            if whole:
+                whole -= 1
+                yield window
+            else:
+                self.levels[rest] = 1
+                self.open[rest].append(window)
+
+
+def _recut(items: list[tuple], lengths: list[int]) -> Iterator[list[tuple]]:
+    """Sequences of these lengths, which add up to the items' ids."""
+    todo, sequence, room = iter(lengths), [], 0
+    for doc_id, start, ids, total in items:
+        while ids:
+            room = room or next(todo)
+            piece, ids = ids[: room * WIDTH], ids[room * WIDTH :]
+            sequence.append((doc_id, start, piece, total))
+            start, room = start + len(piece) // WIDTH, room - len(piece) // WIDTH
+            if not room:
+                yield sequence
+                sequence = []
+
+
+def pack(documents: Iterator[tuple[int | None, bytes]], size: int = SEQUENCE, most_open: int = OPEN_WINDOWS) -> Iterator[list[tuple]]:
     """Sequences, as lists of ``(doc_id, start, ids, doc_tokens)``, of documents given as ``(doc_id, ids)``.
 
-    A document of more than ``size`` ids fills whole sequences first and places the remainder. Windows still
-    open at the end are emptied and refilled in order, documents being cut at the edges, so that one
-    sequence at most is left short.
+    A document of more than ``size`` ids fills whole sequences first and places the remainder. Whenever more than
+    ``most_open`` windows are open, and at the end, they are emptied and refilled in order. All sequences have
+    ``size`` ids but the very last few, of a power of two each, so none is padded.
     """
-    windows, width = SumOfSquares(size), 4
+    windows = SumOfSquares(size)
     for doc_id, ids in documents:
-        total, start = len(ids) // width, 0
+        total, start = len(ids) // WIDTH, 0
         while total - start >= size:
-            yield [(doc_id, start, ids[start * width : (start + size) * width], total)]
+            yield [(doc_id, start, ids[start * WIDTH : (start + size) * WIDTH], total)]
             start += size
-        if start < total and (full := windows.add((doc_id, start, ids[start * width :], total), total - start)):
+        if start == total:
+            continue
+        if full := windows.add((doc_id, start, ids[start * WIDTH :], total), total - start):
             yield full
-    sequence, room = [], size
-    for window in windows.rest():
-        for doc_id, start, ids, total in window:
-            while ids:
-                piece, ids = ids[: room * width], ids[room * width :]
-                sequence.append((doc_id, start, piece, total))
-                start, room = start + len(piece) // width, room - len(piece) // width
-                if not room:
-                    yield sequence
-                    sequence, room = [], size
-    if sequence:
-        yield sequence
+        if windows.levels.sum() > most_open:
+            yield from windows.drain(last=False)
+    yield from windows.drain(last=True)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])``, a row per piece.
 
     Every task tokenises and packs its own rows with the sum-of-squares rule, so nothing is shuffled and no
-    group is gathered; open windows are all a task keeps. ``ids`` are little-endian unsigned 32-bit ids.
-    Sequences are meant to be padded to ``size``; at most one a task is short. Null texts count as empty
-    and are the closing id alone; null and repeated ids are carried along; an empty table gives no row.
+    group is gathered; a bounded number of open windows is all a task keeps. ``ids`` are little-endian unsigned
+    32-bit ids. Sequences hold ``size`` ids, save at most eleven a task that hold a power of two, so however the
+    rows are dealt nothing is padded. Null texts count as empty and are the closing id alone; null and
+    repeated ids, of any type, are carried along; an empty table gives no row; other columns aren't read.
     """
     prepare(docs.sparkSession)
-    end = array("I", [end_id]).tobytes()
+    end, id_type = array("I", [end_id]).tobytes(), to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = pretoken_ids(tokenizer)
@@ -149,22 +178,22 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
         for sequence in pack(documents(), size):
             offset = 0
             for doc_id, start, ids, total in sequence:
-                n = len(ids) // 4
+                n = len(ids) // WIDTH
                 rows.append((doc_id, start, n, zlib.crc32(ids), total, sequence_id, offset, ids if with_ids else None))
                 offset += n
             sequence_id += 1
             if len(rows) >= 4096:
-                yield _batch(rows, with_ids)
+                yield _batch(rows, id_type, with_ids)
                 rows = []
         if rows:
-            yield _batch(rows, with_ids)
+            yield _batch(rows, id_type, with_ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
+def _batch(rows: list[tuple], id_type: pa.DataType, with_ids: bool) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    data = [pa.array(cols[0]) if any(x is not None for x in cols[0]) else pa.array(cols[0], pa.int64())] + [pa.array(c, pa.int64()) for c in cols[1:7]]
+    data = [pa.array(cols[0], id_type)] + [pa.array(c, pa.int64()) for c in cols[1:7]]
     return pa.RecordBatch.from_arrays(data + ([pa.array(cols[7], pa.binary())] if with_ids else []), ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids)
