@@ -8,20 +8,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import prepare
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 128
-#: Labelled documents that training sees at most, of all languages together.
+#: Labelled documents that training sees at most, whole; every language has an equal part of them, or all that it has.
 TRAINING_ROWS = 3000
-#: Windows of one document that training sees at most; prediction reads all of every text.
-TRAINING_WINDOWS = 6
+#: Steps of training, and windows of each, drawn from all windows of these documents.
+STEPS, BATCH = 1700, 64
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]+")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -82,36 +83,37 @@ class ByteConvNet:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 2) -> ByteConvNet:
-        """Adam on the cross entropy; classes weigh alike whatever their share of the sample."""
+    def train(self, x: np.ndarray, y: np.ndarray, document: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 2) -> ByteConvNet:
+        """Adam on the cross entropy of windows ``x`` of documents; documents are drawn alike whatever their length, classes weigh alike whatever their share."""
         rng = np.random.default_rng(seed)
         params = [*self.filters.values(), self.bias, self.dense, self.offset]
         first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        weight = (len(y) / len(self.labels) / np.maximum(1, np.bincount(y, minlength=len(self.labels)))).astype(np.float32)
+        start = np.flatnonzero(np.concatenate(([True], document[1:] != document[:-1])))
+        size, of = np.diff(np.append(start, len(document))), y[start]
+        weight = (len(of) / len(self.labels) / np.maximum(1, np.bincount(of, minlength=len(self.labels)))).astype(np.float32)
         k = next(iter(self.filters.values())).shape[2]
-        for epoch in range(epochs):
-            order = rng.permutation(len(x))
-            for i in range(0, len(x), batch):
-                b = order[i : i + batch]
-                pooled, where = self.pooled(x[b], True)
-                hidden = np.maximum(pooled + self.bias, 0)
-                error = self.probabilities(pooled)
-                error[np.arange(len(b)), y[b]] -= 1
-                error *= (weight[y[b]] / len(b))[:, None]
-                back = (error @ self.dense.T) * (hidden > 0)
-                grads = []
-                for j, (w, f) in enumerate(self.filters.items()):
-                    g, mine, at = np.zeros_like(f), back[:, j * k : j * k + k], where[:, j * k : j * k + k]
-                    for o in range(w):
-                        np.add.at(g[o], (np.take_along_axis(x[b], at + o, 1), np.arange(k)[None, :]), mine)
-                    grads.append(g)
-                grads += [back.sum(0), hidden.T @ error, error.sum(0)]
-                t += 1
-                step = rate * (1 - epoch / epochs)
-                for p, g, m, v in zip(params, grads, first, second, strict=True):
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    p -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        for turn in range(steps):
+            d = rng.integers(0, len(start), batch)
+            b = start[d] + rng.integers(0, size[d])
+            pooled, where = self.pooled(x[b], True)
+            hidden = np.maximum(pooled + self.bias, 0)
+            error = self.probabilities(pooled)
+            error[np.arange(len(b)), y[b]] -= 1
+            error *= (weight[y[b]] / len(b))[:, None]
+            back = (error @ self.dense.T) * (hidden > 0)
+            grads = []
+            for j, (w, f) in enumerate(self.filters.items()):
+                g, mine, at = np.zeros_like(f), back[:, j * k : j * k + k], where[:, j * k : j * k + k]
+                for o in range(w):
+                    np.add.at(g[o], (np.take_along_axis(x[b], at + o, 1), np.arange(k)[None, :]), mine)
+                grads.append(g)
+            grads += [back.sum(0), hidden.T @ error, error.sum(0)]
+            t += 1
+            step = rate * (1 - turn / steps)
+            for p, g, m, v in zip(params, grads, first, second, strict=True):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                p -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         return self
 
     def compiled(self) -> Compiled:
@@ -152,21 +154,22 @@ class Compiled:
 
 
 def training_sample(docs: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang") -> list[tuple[bytes, str]]:
-    """Texts and labels of at most ``rows`` rows, about as many of each language, picked by a hash of the id."""
+    """Whole texts and labels of at most ``rows`` rows, as many of each language or all that it has, picked by a hash of id and text.
+
+    A row at least is kept of every language, so the bound is the number of languages if that is more.
+    """
     light = docs.where(F.col(lang).isNotNull() & F.col(text_col).isNotNull())
-    counts = dict(light.groupBy(lang).count().toLocalIterator())
+    counts = dict(light.groupBy(lang).count().toLocalIterator())  # a row for each class of the network
     if not counts:
         return []
-    each, scale = rows / len(counts), 1 << 20
+    each, scale = max(1, rows // len(counts)), 1 << 40
     chance = F.lit(0)
-    for name, n in counts.items():
-        chance = F.when(F.col(lang) == name, F.lit(min(scale, int(1.2 * each / n * scale) + 1))).otherwise(chance)
-    key = F.xxhash64(F.lit(11), F.col(id_col).cast("string"), F.col(lang))
+    for name, n in counts.items():  # twice as many as needed; the first of them stay
+        chance = F.when(F.col(lang) == name, F.lit(min(scale, int((2 * each + 50) / n * scale) + 1))).otherwise(chance)
+    key = F.xxhash64(F.lit(11), F.col(id_col).cast("string"), F.col(text_col))
     some = light.where(F.pmod(key, F.lit(scale)) < chance).select(key.alias("key"), F.col(text_col).alias("text"), F.col(lang).alias("lang"))
-    size, overlap = WINDOW, max(WIDTHS) - 1
-    need = TRAINING_WINDOWS * (size - overlap) + overlap  # bytes at least, and so characters at most
-    at = F.pmod(F.shiftright("key", 20), F.greatest(F.lit(1), F.length("text") - need)).cast("int") + 1
-    found = some.select("key", F.substring("text", at, F.lit(need)).alias("text"), "lang").orderBy("key", "text").limit(rows).collect()
+    first = Window.partitionBy("lang").orderBy("key", "text")
+    found = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).orderBy("key", "text", "lang").collect()
     return [(r.text.encode(), r.lang) for r in found]
 
 
@@ -176,11 +179,16 @@ def train(sample: list[tuple[bytes, str]]) -> Compiled | None:
         return None
     x, owner = windows_of([t for t, _ in sample])
     y = np.array([labels.index(lang) for _, lang in sample])
-    return ByteConvNet.fresh(labels).train(x, y[owner]).compiled()
+    return ByteConvNet.fresh(labels).train(x, y[owner], owner).compiled()
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's category L is in a text; ``\\w`` alone takes some numbers and marks too."""
+    return any(c.isalpha() for m in _WORDLIKE.finditer(text) for c in m[0])
 
 
 def identify(docs: DataFrame, training: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", lang: str = "lang") -> DataFrame:
-    """The columns ``keep`` of every row with ``lang_pred`` and ``score``.
+    """The columns ``keep`` of every row, whatever their names, and last ``lang_pred`` and ``score``.
 
     A network is trained on a bounded sample of the labelled rows of ``training`` and applied to fixed-length
     windows that cover all of every text; a text's score is the mean probability of the language predicted.
@@ -190,6 +198,7 @@ def identify(docs: DataFrame, training: DataFrame, keep: list[str], id_col: str
     spark = prepare(docs.sparkSession)
     net = train(training_sample(training, id_col=id_col, text_col=text_col, lang=lang))
     sent = spark.sparkContext.broadcast(net.net if net else None)
+    own = [f"c{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = sent.value.compiled() if sent.value else None
@@ -197,16 +206,23 @@ def identify(docs: DataFrame, training: DataFrame, keep: list[str], id_col: str
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 texts = part.column(len(keep)).to_pylist()
-                said = [k for k, t in enumerate(texts) if mine and t and _LETTER.search(t)]
+                said = [k for k, t in enumerate(texts) if mine and t and has_letter(t)]
                 langs, scores = ["und"] * len(texts), [0.0] * len(texts)
                 if said:
                     p = mine.texts([texts[k].encode() for k in said])
                     for k, best, score in zip(said, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
                         langs[k], scores[k] = mine.net.labels[best], min(1.0, score)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"])
+
+    rows = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(o) for c, o in zip(keep, own, strict=True)], F.col(text_col).alias("text"))
+    fields = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, fields).toDF(*keep, "lang_pred", "score")
+
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+def drop_unidentified(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows that get a language, with all their columns, whatever their names."""
+    names = docs.columns
+    return identify(docs, training, names, id_col, text_col, lang).toDF(*[f"c{i}" for i in range(len(names))], "lang_pred", "score").where("lang_pred <> 'und'").drop("lang_pred", "score").toDF(*names)
 
 
 def fold(doc_id: Column) -> Column:
