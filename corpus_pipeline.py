@@ -15,7 +15,7 @@ from tessera.llm.queries import TOKENIZER
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, those with no text or no letter, go; the network learns from all folds but the held-out one."""
     training = docs.where(langid.fold(F.col("doc_id")) != 2)
-    return langid.identify(docs, training, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    return langid.drop_unidentified(docs, training)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
