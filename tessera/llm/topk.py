@@ -13,6 +13,10 @@ from tessera.llm.common import cut, prepare
 
 #: Vectors of an index block; a block of 64 dimensions and 7 slices takes 3.7 MB.
 BLOCK_ROWS = 65_536
+#: Queries that meet a block at once, on average (1 MB).
+CHUNK = 1024
+#: Tasks of the search; more blocks share them.
+MOST_TASKS = 100_000
 
 
 def quantise(vector: Column, scale: float = 64.0) -> Column:
@@ -107,15 +111,15 @@ class BitSliced:
         self.done = [x for x, mine in out if mine]
         return base, [x for x, _ in out]
 
-    def top(self, query: np.ndarray, k: int, but: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the ``k`` best rows outside of ``but``, equal scores by row.
+    def top(self, query: np.ndarray, k: int, but: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores of the ``k`` best rows other than ``but``, equal scores by row.
 
         From the most significant slice down, rows with the bit are taken while they are ``k`` at most; else
         the others drop out. What is undecided at the end has one score, and its first rows fill up.
         """
         base, slices = self.add(query)
         sure, maybe = np.zeros(self.words, np.uint64), self.valid.copy()
-        for row in range(*but):
+        for row in but:
             maybe[row >> 6] &= ~np.uint64(1 << (row & 63))
         n = 0
         for s in reversed(slices):
@@ -144,70 +148,86 @@ def _set(bitmap: np.ndarray) -> np.ndarray:
     return words[at] * 64 + bit
 
 
+_INDEX = "block int, rows long, ids binary, keys binary, low array<long>, bits array<int>, slices binary"
+
+
 def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(block, rows, ids, low, bits, slices)``: bit-sliced blocks of ``vectors(vec_id, q)``, rows by id within a block."""
+    """``(block, rows, ids, keys, low, bits, slices)``: bit-sliced blocks of ``vectors(key, vec_id, q)``, rows by id and key within a block."""
     prepare(vectors.sparkSession)
     blocks = max(1, -(-vectors.count() // block_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts, block = [], [], None
+        ids, keys, parts, block = [], [], [], None
         for batch in batches:
             if batch.num_rows:
-                block = batch.column(2)[0].as_py()
-                ids.append(batch.column(0).to_numpy())
-                lists = batch.column(1)
+                block = batch.column(3)[0].as_py()
+                keys.append(batch.column(0).to_numpy())
+                ids.append(batch.column(1).to_numpy())
+                lists = batch.column(2)
                 flat, ends = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
                 rows = np.zeros((len(ends), int(ends.max(initial=0))), np.int64)
                 rows[np.arange(rows.shape[1]) < ends[:, None]] = flat
                 parts.append(rows)
         if ids:
             width = max(p.shape[1] for p in parts)
-            every, at = np.concatenate(ids), np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
-            order = np.argsort(every, kind="stable")
+            every, own, at = np.concatenate(ids), np.concatenate(keys), np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
+            order = np.lexsort((own, every))
             low, bits, data = BitSliced.slice(at[order])
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([len(every)], pa.int64()), pa.array([every[order].tobytes()]), pa.array([low.tolist()], pa.list_(pa.int64())), pa.array([bits], pa.list_(pa.int32())), pa.array([data])], ["block", "rows", "ids", "low", "bits", "slices"])
+            one = [pa.array([block], pa.int32()), pa.array([len(every)], pa.int64()), pa.array([every[order].tobytes()]), pa.array([own[order].tobytes()])]
+            yield pa.RecordBatch.from_arrays([*one, pa.array([low.tolist()], pa.list_(pa.int64())), pa.array([bits], pa.list_(pa.int32())), pa.array([data])], ["block", "rows", "ids", "keys", "low", "bits", "slices"])
 
-    dealt = vectors.select("vec_id", "q").repartition(blocks).select("vec_id", "q", F.spark_partition_id().alias("block"))
-    return dealt.mapInArrow(run, "block int, rows long, ids binary, low array<long>, bits array<int>, slices binary")
+    dealt = vectors.select("key", "vec_id", "q").repartition(blocks).select("key", "vec_id", "q", F.spark_partition_id().alias("block"))
+    return dealt.mapInArrow(run, _INDEX)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", scale: float = 64.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` best rows for every row with ``is_query``, its own id aside.
+    """``(query_id, rank, vec_id, score)``: the ``k`` best rows for every row with ``is_query``, that row itself aside.
 
     Components are quantised to floors of ``scale`` times their value; the score is the integer inner
     product, equal scores go to the smaller id. Chunks of queries meet every block of the index; a block
-    returns its ``k`` best and these are ranked. Vectors that are null or hold null or non-finite
-    components, and rows without id, take no part; shorter vectors count as padded with zeros. Repeated ids
-    are candidates each, but one query (the least vector). Scores must fit a long. An empty table gives no row.
+    returns its ``k`` best and these are ranked. While there are fewer blocks than cores, a block has copies
+    that share the chunks. Vectors that are null or hold null or non-finite components, and rows without
+    id, take no part; shorter vectors count as padded with zeros. Rows of one id are candidates and queries
+    each, so that such a query has a list for each of them. Quantised components must be below 2**40
+    in size and scores must fit a long. An empty table gives no row; other columns aren't read.
     """
     spark = prepare(vectors.sparkSession)
     q = vectors.where(is_query.isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), quantise(F.col(vector), scale).alias("q"), is_query.alias("asks"))
-    q = cut(q.where("vec_id is not null and q is not null"))
+    q = cut(q.where("vec_id is not null and q is not null").withColumn("key", F.monotonically_increasing_id()))
     index = cut(build_index(q, block_rows))
-    asks = cut(q.where("asks").groupBy("vec_id").agg(F.min("q").alias("q")))
+    asks, cores = q.where("asks"), spark.sparkContext.defaultParallelism
     n, blocks = asks.count(), 1 + (index.agg(F.max("block")).first()[0] or 0)
-    chunk = min(2048, max(16, -(-n * blocks // (4 * spark.sparkContext.defaultParallelism))))
-    chunks = asks.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // chunk)))))
-    chunks = chunks.groupBy("chunk").agg(F.collect_list(F.struct("vec_id", "q")).alias("queries"))  # of a fixed size
-    pairs = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block")
+    copies = max(1, -(-2 * cores // blocks))
+    chunks = max(copies, -(-n // CHUNK))
+    chunked = asks.groupBy(F.pmod(F.xxhash64("key"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("key", "vec_id", "q")).alias("queries"))  # of a fixed size
+    place = lambda copy: F.col("block") * copies + copy
+    held = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(place(F.col("copy")).cast("int").alias("place"), F.lit(0).alias("turn"), *index.columns)
+    sent = chunked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select(place(F.pmod("chunk", F.lit(copies))).cast("int").alias("place"), F.lit(1).alias("turn"), "queries")
+    tasks = min(blocks * copies, MOST_TASKS)
+    dealt = held.unionByName(sent, allowMissingColumns=True).repartitionById(tasks, F.pmod("place", F.lit(tasks)).cast("int")).sortWithinPartitions("place", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, loaded = None, None
+        ids = keys = loaded = None
         for batch in batches:
             for row in batch.to_pylist():
-                if kept != row["block"]:
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    kept, loaded = row["block"], BitSliced.load(row["low"], row["bits"], row["slices"], row["rows"])
-                out = [[], [], []]
+                if row["queries"] is None:
+                    ids, keys = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["keys"], np.int64)
+                    loaded = BitSliced.load(row["low"], row["bits"], row["slices"], row["rows"])
+                    continue
+                out: list[list] = [[], [], [], []]
                 for ask in row["queries"]:
-                    own = np.searchsorted(ids, [ask["vec_id"], ask["vec_id"] + 1])
-                    rows, scores = loaded.top(np.array(ask["q"], np.int64), k, tuple(own))
-                    out[0] += [ask["vec_id"]] * len(rows)
-                    out[1].append(ids[rows])
-                    out[2].append(scores)
+                    first, last = np.searchsorted(ids, [ask["vec_id"], ask["vec_id"] + 1])
+                    own = [int(first) + int(j) for j in np.flatnonzero(keys[first:last] == ask["key"])]
+                    rows, scores = loaded.top(np.array(ask["q"], np.int64), k, own)
+                    out[0] += [ask["key"]] * len(rows)
+                    out[1] += [ask["vec_id"]] * len(rows)
+                    out[2].append(rows)
+                    out[3].append(scores)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], ["query_id", "vec_id", "score"])
+                    at = np.concatenate(out[2])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(ids[at]), pa.array(keys[at]), pa.array(np.concatenate(out[3]))], ["asks", "query_id", "vec_id", "key", "score"])
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = pairs.select("block", "rows", "ids", "low", "bits", "slices", "queries").mapInArrow(run, "query_id long, vec_id long, score long")
+    best = Window.partitionBy("asks").orderBy(F.desc("score"), "vec_id", "key")
+    found = dealt.mapInArrow(run, "asks long, query_id long, vec_id long, key long, score long")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
