@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import prepare
 
@@ -88,32 +89,34 @@ def _present(path: str) -> Column:
     return _quoted(path).isNotNull()
 
 
-def schema_fingerprint(schema: T.StructType) -> Column:
-    """The hash of the field paths that hold a value in a row, in order."""
-    return F.sha2(F.concat_ws("\n", *[F.when(_present(p), F.lit(p)) for p in sorted(_leaves(schema))]), 256)
+def schema_fingerprint(paths: list[str]) -> Column:
+    """The hash of those of these field paths that hold a value in a row, in order."""
+    return F.sha2(F.concat_ws("\n", *[F.when(_present(p), F.lit(p)) for p in sorted(paths)]), 256)
 
 
 def canonical_turns(records: DataFrame, id_col: str, order_col: str | None = None, layouts: tuple[Layout, ...] = LAYOUTS, fields: list[str] | None = None) -> DataFrame:
     """``(conv_id, turn, part, role, text, layout)``: records of mixed layouts as turns.
 
-    A record's fingerprint picks the first layout that declares it; ``fields`` are the columns that count
-    (all but the id and the order by default). ``turn`` is the order column, ``part`` the place within a
-    record. Null texts become empty, except those of optional fields, which make no turn. A record of no
-    known layout gives one row with a null layout, role and text, so that none is lost unseen.
+    A record's fingerprint, of the field paths that hold a value, picks the first layout that declares it. Only
+    paths that some layout names count, so further columns and fields of any name change nothing; ``fields``
+    limits the columns that are looked at (all but the id and the order by default). A record without a value in
+    any such path is of the table's only layout, if all its paths are optional. ``turn`` is the order column,
+    ``part`` the place within a record. Null texts become empty, except those of optional fields, which make
+    no turn. A record of no known layout gives one row with a null layout, role and text, so that none is lost unseen.
     """
     names = fields or [c for c in records.columns if c not in (id_col, order_col)]
     schema = T.StructType([records.schema[c] for c in names])
-    have = set(_leaves(schema))
+    declared = {p for layout in layouts for p in layout.paths()}
+    have = set(_leaves(schema)) & declared
     turn = "array<struct<role:string,text:string>>"
+    print_ = schema_fingerprint(sorted(have))
     choice, name = F.lit(None).cast(turn), F.lit(None).cast("string")
-    for layout in reversed(layouts):
-        if not all(p in have or p in layout.optional for p in layout.paths()) or not any(p in have for p in layout.paths()):
-            continue
-        here = F.col("__fingerprint").isin(layout.fingerprints())
+    usable = [a for a in layouts if all(p in have or p in a.optional for p in a.paths()) and any(p in have for p in a.paths())]
+    for layout in reversed(usable):
+        here = print_.isin([x for x in layout.fingerprints() if len(usable) == 1 or x != fingerprint([])])
         turns = F.coalesce(_turns(layout, have), F.array().cast(turn))
         choice, name = F.when(here, turns).otherwise(choice), F.when(here, layout.name).otherwise(name)
-    out = records.withColumn("__fingerprint", schema_fingerprint(schema))
-    out = out.select(F.col(f"`{id_col}`").alias("conv_id"), (F.col(f"`{order_col}`") if order_col else F.lit(0)).alias("turn"), name.alias("layout"), F.posexplode_outer(choice).alias("part", "t"))
+    out = records.select(F.col(f"`{id_col}`").alias("conv_id"), (F.col(f"`{order_col}`") if order_col else F.lit(0)).alias("turn"), name.alias("layout"), F.posexplode_outer(choice).alias("part", "t"))
     return out.where("layout is null or t is not null").select("conv_id", "turn", "part", "t.role", "t.text", "layout")
 
 
@@ -178,7 +181,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     are one conversation; repeated turns count each. An empty table gives no row.
     """
     prepare(formatted.sparkSession)
-    kind = formatted.schema["conv_id"].dataType.simpleString()
+    kind, id_type = formatted.schema["conv_id"].dataType.simpleString(), to_arrow_type(formatted.schema["conv_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done = None, []
@@ -204,8 +207,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     def _rows(found: list) -> pa.RecordBatch:
         cols = list(zip(*[(c, n, t.hexdigest(), k, s.hexdigest(), f) for c, n, t, k, s, f in found], strict=True))
-        ids = pa.array(cols[0]) if any(x is not None for x in cols[0]) else pa.array(cols[0], pa.int64())
-        return pa.RecordBatch.from_arrays([ids, pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4]), pa.array(cols[5], pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4]), pa.array(cols[5], pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "part", "role", "text")]
     rows = formatted.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "formatted", "loss_start", "loss_length")
