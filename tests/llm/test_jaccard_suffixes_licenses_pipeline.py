@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -185,33 +186,59 @@ def test_licenses(spark):
 
 def test_common_licence_statements_count(spark):
     rows = [(i, f"s{i % 3}/{i}", "Licensed under CC BY-SA 4.0" if i % 3 == 0 else f"words {i} of a text", 1) for i in range(60)]
-    rows += [(60, "t/60", "Released under the MIT License", 1), (61, "t/61", "Released under the MIT License", 1)]
-    for some in (rows, rows[-2:]):
+    rows += [(60, "t/60", "Released under the MIT License", 1), (None, "t/61", "Released under the MIT License", 1), (None, "t/62", "none", 1), (60, "t/63", "said twice by this id", 1)]
+    for some in (rows, rows[60:62]):
         docs = spark.createDataFrame(some, "doc_id long, path string, text string, license int")
-        got = {r.id: (r.license, r.cosine and round(r.cosine, 9)) for r in licenses.scan_statements(docs, "doc_id", "text").collect()}
-        assert got == {i: ("CC-BY-SA-4.0", 1.0) if t.startswith("Lic") else ("MIT", 1.0) if t.startswith("Rel") else (None, None) for i, _, t, _ in some}
+        got = {(r.id, r.path): (r.license, r.cosine and round(r.cosine, 9)) for r in licenses.scan_statements(docs, path_col="path").collect()}
+        assert got == {(i, p): ("CC-BY-SA-4.0", 1.0) if t.startswith("Lic") else ("MIT", 1.0) if t.startswith("Rel") else (None, None) for i, p, t, _ in some}
 
 
-def test_licence_weights_are_counted_over_all_terms(spark, monkeypatch):
-    monkeypatch.setattr(licenses, "COMMON_TERMS", 3)
-    rng = random.Random(3)
-    notes = [t for _, t in licenses.TEMPLATES]
-    rows = [(i, " ".join(rng.choices(["freely", "today", "and", "more", f"only{i}"], k=6)) + ". " + (rng.choice(notes) + rng.choice(["", " freely", " today only", f" only{i}"]) if i % 2 else "")) for i in range(200)] + [(200, None), (201, "")]
-    split = lambda s: re.findall(licenses._TERM, s.lower())
+def brute_licenses(rows):
+    """The cosine of every sentence and line with every template, all vectors in full."""
+    split = lambda s: re.findall("[a-z0-9]+(?:[.-][a-z0-9]+)*", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s))
     df = {}
     for _, t in rows:
         for w in set(split(t or "")):
             df[w] = df.get(w, 0) + 1
-    vector = lambda s: {w: split(s).count(w) * (np.log((1 + len(rows)) / (1 + df.get(w, 0))) + 1) for w in split(s)}
+    vector = lambda s: {w: split(s).count(w) * (np.log((1 + len(rows)) / (1 + df.get(w, 0))) + 1) for w in set(split(s))}
     size = lambda v: sum(x * x for x in v.values()) ** 0.5
-    cosine = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items()) / size(a) / size(b)
-    want = {}
+    given = [(name, vector(t)) for name, t in licenses.TEMPLATES]
+    out = {}
     for i, t in rows:
-        best = max(((cosine(vector(s), vector(n)), name) for s in re.split(r"(?<=[.!?;])\s+", t or "") if re.search(licenses._SPEAKS, s.lower()) for name, n in licenses.TEMPLATES), default=(0, None))
-        want[i] = (best[1], round(best[0], 9)) if best[0] >= licenses.LEAST_COSINE else (None, None)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    got = {r.id: (r.license, r.cosine and round(r.cosine, 9)) for r in licenses.scan_statements(docs, "doc_id", "text").collect()}
-    assert got == want and sum(x is not None for x, _ in got.values()) > 80
+        said = [(vector(s), len(split(s))) for line in re.split("[\r\n]+", t or "") for s in re.split(r"(?<=[.!?;])\s+", line) if split(s)]
+        best = [(max((sum(x * b.get(w, 0) for w, x in v.items()) / size(v) / size(b), name) for name, b in given), n) for v, n in said]
+        near = [(c, name, n) for (c, name), n in best if c >= licenses.LEAST_COSINE]
+        out[i] = (max(near)[1], round(max(near)[0], 9), sum(n for *_, n in near)) if near else (None, None, 0)
+    return out
+
+
+@pytest.mark.parametrize("common,counted", [(3, 7), (10_000, 500_000)])
+def test_licences_against_brute_force(spark, monkeypatch, common, counted):
+    monkeypatch.setattr(licenses, "COMMON_TERMS", common)
+    monkeypatch.setattr(licenses, "COUNTED_TERMS", counted)
+    rng = random.Random(3)
+    notes = [t for _, t in licenses.TEMPLATES]
+    rows = []
+    for i in range(240):
+        text = " ".join(rng.choices(["freely", "today", "and", "more", "é", "MORE", "the", "under", "license", f"only{i}"], k=6)) + rng.choice([". ", "\n", "; ", " "])
+        for _ in range(rng.randrange(0, 3)):
+            note = rng.choice(notes).split()
+            for _ in range(rng.randrange(0, 4)):  # words go, come or are said again
+                note[rng.randrange(len(note))] = rng.choice(["", "freely", f"only{i}", "License", note[0]])
+            text += rng.choice(["", "A line of code that says nothing.\r\n"]) + " ".join(note) + rng.choice([".\n", " freely; ", " today only\n"])
+        rows.append((i, text))
+    rows += [(900, None), (901, ""), (902, "license " * 60_000 + "MIT"), (903, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.id: (r.license, r.cosine and round(r.cosine, 9), r.licensed_words) for r in licenses.scan_statements(docs).collect()}
+    want = brute_licenses(rows)
+    assert got == want and sum(x is not None for x, *_ in want.values()) > 60
+
+
+def test_a_long_statement_takes_linear_time(spark):
+    docs = spark.createDataFrame([(1, "license mit " + " ".join(f"w{i}" for i in range(300_000)) + "\nReleased under the MIT License", "a/b", 0)], "doc_id int, text string, path string, key int")
+    began = time.time()
+    assert [(r.doc_id, r.license) for r in licenses.licenses(docs).collect()] == [(1, "MIT")]
+    assert time.time() - began < 30
 
 
 def test_pipeline(spark, tmp_path):
