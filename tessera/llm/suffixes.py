@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import cut, prepare
 from tessera.llm.shingles import mix, word_hashes
@@ -16,10 +17,10 @@ from tessera.llm.shingles import mix, word_hashes
 PASSAGE = 50
 #: Words of a suffix that choose it: of the grams within each passage, the one with the least hash is kept.
 GRAM = 8
+#: Places of a gram that one task may compare (4 MB); more are compared by partial aggregation.
+COMMON = 10_000
 
-_ANCHOR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4")])
 _CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("left", "<u1"), ("right", "<u1"), ("words", "<u4", (2 * PASSAGE,))])
-_NULL_ID = -(1 << 63)
 
 
 def gram_hashes(words: np.ndarray, width: int = GRAM) -> np.ndarray:
@@ -71,73 +72,110 @@ def _in_two(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """``(doc, pos)``: kept suffixes whose first words start a kept suffix of another document too."""
+def _anchors(docs: DataFrame) -> DataFrame:
+    """``(h, doc, pos)``: the kept suffixes by the hash of their first words."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4000):
-                parts = []
-                for doc, text in zip(batch.column(0).slice(i, 4000).to_pylist(), batch.column(1).slice(i, 4000), strict=True):
-                    pos, h = anchors(word_hashes(text.as_py()))
-                    rows = np.empty(len(pos), _ANCHOR)
-                    rows["h"], rows["doc"], rows["pos"] = h, doc, pos
-                    parts.append(rows)
-                if parts and sum(map(len, parts)):
-                    yield _deal(np.concatenate(parts), buckets)
+                found = [(doc, *anchors(word_hashes(text.as_py()))) for doc, text in zip(batch.column(0).slice(i, 4000).to_pylist(), batch.column(1).slice(i, 4000), strict=True)]
+                if found:
+                    doc = np.repeat(np.array([d for d, *_ in found], np.int64), [len(pos) for _, pos, _ in found])
+                    pos, h = np.concatenate([pos for _, pos, _ in found]), np.concatenate([h for *_, h in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32))], ["h", "doc", "pos"])
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _gather(batches, _ANCHOR):
-            rows = rows[_in_two(rows["h"], rows["doc"])]
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(rows["doc"].copy()), pa.array(rows["pos"].astype(np.int64))], ["doc", "pos"])
+    return docs.select("doc", "text").mapInArrow(emit, "h long, doc long, pos int")
 
-    rows = docs.select("doc", "text").mapInArrow(emit, "bucket int, rows binary")
-    return rows.repartition(-(-buckets // 4), "bucket").mapInArrow(keep, "doc long, pos long")
 
+def _sorted_neighbours(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by gram and words, and how many words each has in common with the row before it; none with another gram's."""
+    text = np.ascontiguousarray(np.concatenate([h.astype(">u8").view(np.uint8).reshape(len(h), 8), np.ascontiguousarray(words.astype(">u4")).view(np.uint8).reshape(len(h), -1)], 1))
+    order = np.argsort(text.view(f"S{text.shape[1]}").ravel(), kind="stable")
+    differ = words[order][1:] != words[order][:-1]
+    common = np.where(differ.any(1), differ.argmax(1), words.shape[1])
+    common[h[order][1:] != h[order][:-1]] = -1
+    return order, np.concatenate(([-1], common))
 
-_COLUMN = np.uint64(0xD6E8FEB86659FD93)
+
+def _longest(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each row the words that it has in common with the nearer of its neighbours."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(common, np.append(common[1:], -1))
+    return out
 
 
 def _extended(rows: np.ndarray) -> np.ndarray:
     """``(doc, start, end)`` of the passages around suffixes, all rows of a gram being there.
 
-    A passage that holds a suffix's gram begins 0 to ``PASSAGE - GRAM`` words before it. For each such
-    beginning the rows are sorted by the passage that follows, its words left and right of the suffix, and
-    neighbours from different documents compared: equal ones are repeats.
+    Suffixes are sorted, and what is before them, read backwards, is too; neighbours give the longest matches to the
+    right and to the left, and suffixes whose two together are too short go. A match extended by ``back``
+    words to the left needs the rest of a passage to the right: rows with both in common, which are stretches of both
+    orders between neighbours of less, are in one class; a class with two documents is a repeat.
     """
-    with np.errstate(over="ignore"):
-        scale = np.cumprod(np.full(2 * PASSAGE, _COLUMN, np.uint64))
-        undo = np.cumprod(np.full(2 * PASSAGE, pow(int(_COLUMN), -1, 1 << 64), np.uint64))
-        total = np.zeros((len(rows), 2 * PASSAGE + 1), np.uint64)
-        np.cumsum((rows["words"].astype(np.uint64) + np.uint64(1)) * scale, axis=1, out=total[:, 1:])
-        low, high = np.full(len(rows), PASSAGE), np.full(len(rows), -1)
-        for back in range(PASSAGE - GRAM + 1):
-            able = np.flatnonzero((rows["left"] >= back) & (rows["right"] >= PASSAGE - back))
-            if len(able) < 2:
-                continue
-            here = (total[able, 2 * PASSAGE - back] - total[able, PASSAGE - back]) * undo[PASSAGE - back]
-            hit = able[_in_two(mix(here) ^ rows["h"][able], rows["doc"][able])]
-            low[hit], high[hit] = np.minimum(low[hit], back), np.maximum(high[hit], back)
+    rows = rows[_in_two(rows["h"], rows["doc"])]
+    if not len(rows):
+        return np.empty((0, 3), np.int64)
+    right, left = _sorted_neighbours(rows["h"], rows["words"][:, PASSAGE:]), _sorted_neighbours(rows["h"], rows["words"][:, PASSAGE - 1 :: -1])
+    near = _longest(*right) + _longest(*left) >= PASSAGE
+    low, high = np.full(len(rows), PASSAGE), np.full(len(rows), -1)
+    classes = np.empty((2, len(rows)), np.int64)
+    for back in range(PASSAGE - GRAM + 1):
+        able = np.flatnonzero(near & (rows["left"] >= back) & (rows["right"] >= PASSAGE - back))
+        if len(able) < 2:
+            continue
+        for k, ((order, common), least) in enumerate(((right, PASSAGE - back), (left, back))):
+            classes[k, order] = np.cumsum(common < least)
+        hit = able[_in_two(classes[0, able] * (len(rows) + 1) + classes[1, able], rows["doc"][able])]
+        low[hit], high[hit] = np.minimum(low[hit], back), np.maximum(high[hit], back)
     found = high >= 0
     pos = rows["pos"][found].astype(np.int64)
     return np.stack([rows["doc"][found], pos - high[found], pos - low[found] + PASSAGE], 1)
 
 
+def _common_passages(asked: DataFrame) -> DataFrame:
+    """``(doc, start, end)`` of the passages around suffixes ``(doc, text, at)`` of grams too common for one task.
+
+    All passages that hold such a suffix are hashed; a hash's least and greatest document are found with
+    partial aggregation, so that a passage of any number of documents meets nowhere, and those of two are joined back.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = word_hashes(text)
+                if len(words) < PASSAGE:
+                    continue
+                start = np.unique(np.array(at, np.int64)[:, None] - np.arange(PASSAGE - GRAM + 1))
+                start = start[(start >= 0) & (start <= len(words) - PASSAGE)]
+                h = gram_hashes(words, PASSAGE)[start]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), doc, np.int64)), pa.array(start)], ["w", "doc", "start"])
+
+    passages = cut(asked.mapInArrow(emit, "w long, doc long, start long"))
+    in_two = passages.groupBy("w").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("w")
+    return passages.join(in_two, "w").select("doc", "start", (F.col("start") + PASSAGE).alias("end"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, start_word, n_words)``: the stretches of documents that repeat in other documents.
 
     A stretch is covered by passages of at least ``PASSAGE`` words that occur, word by word and with A-Z
     folded, in a document of another id; stretches that touch are one. Suffixes are kept at content-chosen
-    words only, about one in 22; those whose first ``GRAM`` words are unique go, the others are sorted
-    with their surroundings and compared with neighbours. Words are compared by 32-bit hashes, ``PASSAGE``
-    of them at a time. Documents without repeats, with null or short texts give no row; rows of one id
-    are one document for this purpose; null ids are one document. An empty table gives no row.
+    words only, about one in 22; those whose first ``GRAM`` words are one document's go, the others are sorted,
+    compared with neighbours and extended left and right. Suffixes of a gram of more than ``COMMON``
+    places are compared by aggregation instead, with the same result. Words are compared by 32-bit hashes,
+    ``PASSAGE`` of them at a time. Documents without repeats, with null or short texts give no row; rows of
+    one id, of any type, are one document for this purpose, rows without id are documents by their text.
+    An empty table gives no row; other columns aren't read.
     """
     spark = prepare(docs.sparkSession)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    light = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
-    shared = cut(_shared_anchors(light, buckets).groupBy("doc").agg(F.collect_set("pos").alias("at")))
+    kind = docs.schema[id_col].dataType
+    own = F.col(id_col).cast("long") if isinstance(kind, T.IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    light = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(own, F.xxhash64(F.lit("no id"), text_col)).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = cut(_anchors(light))
+    grams = kept.groupBy("h").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("n")).where("x <> y").select("h", (F.col("n") > COMMON).alias("common"))
+    shared = cut(kept.join(grams, "h").groupBy("doc", "common").agg(F.collect_set("pos").alias("at")))
+    places = shared.agg(F.sum(F.size("at"))).first()[0] or 0
+    buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(places // 200_000))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,8 +211,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     now = [doc, start, end]
         out += [now] if now else []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] if r[0] != _NULL_ID else None for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] - r[1] for r in out], pa.int64())], ["doc_id", "start_word", "n_words"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] - r[1] for r in out], pa.int64())], ["doc", "start_word", "n_words"])
 
-    asked = light.join(shared, "doc").select("doc", "text", "at").mapInArrow(emit, "bucket int, rows binary")
+    asked = light.join(shared.where("not common"), "doc").select("doc", "text", "at").mapInArrow(emit, "bucket int, rows binary")
     found = asked.repartition(-(-buckets // 4), "bucket").mapInArrow(compare, "doc long, start long, end long")
-    return found.repartition("doc").sortWithinPartitions("doc", "start").mapInArrow(merge, "doc_id long, start_word long, n_words long")
+    often = shared.where("common")
+    if not often.isEmpty():
+        found = found.unionByName(_common_passages(light.join(often, "doc").select("doc", "text", "at")))
+    merged = found.repartition("doc").sortWithinPartitions("doc", "start").mapInArrow(merge, "doc long, start_word long, n_words long")
+    return merged.join(light.select("doc", F.col("id").alias("doc_id")).distinct(), "doc").select("doc_id", "start_word", "n_words")

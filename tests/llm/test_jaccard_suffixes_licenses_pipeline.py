@@ -125,7 +125,9 @@ def test_partners_of_sizes_inside_a_band(spark):
     assert {(r.sid, r.must) for r in jaccard._partners(postings, sets).select("sid", "must").distinct().collect()} == {(1, 4), (2, 4)}
 
 
-def test_repeated_passages(spark):
+@pytest.mark.parametrize("common", [suffixes.COMMON, 3, 0])
+def test_repeated_passages(spark, monkeypatch, common):
+    monkeypatch.setattr(suffixes, "COMMON", common)
     rng = random.Random(12)
     word = lambda: f"W{rng.randrange(900)}"
     passages = [[word() for _ in range(n)] for n in (49, 50, 51, 75, 300)]
@@ -154,6 +156,21 @@ def test_repeated_passages(spark):
         want |= {(i, int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)}
     assert {tuple(r) for r in found} == want and len(found) == len(want)
     assert suffixes.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
+    if common:
+        return
+    named = spark.createDataFrame([(f"id {i}", t, 0, "x") for i, t, *_ in rows if i < 60] + [(None, " ".join(passages[4]), 1, "x"), (None, " ".join(passages[4]) + " end", 1, "x")], "doc_id string, text string, doc int, at string")
+    got = suffixes.repeated_passages(named).collect()
+    assert {r.doc_id for r in got} <= {None, *(f"id {i}" for i in range(60))} and [(r.start_word, r.n_words) for r in got if r.doc_id is None] == [(0, 300), (0, 300)]
+
+
+def test_neighbours_of_sorted_suffixes():
+    rng = np.random.default_rng(5)
+    words, h = rng.integers(0, 2, (300, 9)).astype(np.uint32), rng.integers(0, 3, 300).astype(np.uint64)
+    order, common = suffixes._sorted_neighbours(h, words)
+    rows = [(int(h[i]), *words[i].tolist()) for i in order]
+    assert rows == sorted(rows) and common[0] == -1
+    for a, b, c in zip(rows[:-1], rows[1:], common[1:], strict=True):
+        assert c == (-1 if a[0] != b[0] else next((k for k in range(9) if a[k + 1] != b[k + 1]), 9))
 
 
 def test_licenses(spark):
