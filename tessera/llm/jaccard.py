@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import cut, prepare
+from tessera.llm.common import cut, prepare, whole_row
 from tessera.llm.graph import connected_components
 from tessera.llm.shingles import mix, shingle_set
 
@@ -26,9 +26,9 @@ WIDTH = 5
 PERCENT = 75
 #: A token of so many sets is common: it comes last in the order of tokens.
 COMMON = 32
-#: Counters of a task's summary of token counts, and the most common tokens that are sent to every task (1.6 MB).
-COUNTERS, COMMON_MOST = 65_536, 100_000
-#: A common token's rows are dealt to one task for each so many.
+#: Counters of a task's summary of token counts, and the most common tokens that are sent to every task (16 MB).
+COUNTERS, COMMON_MOST = 65_536, 1_000_000
+#: A common token's sets are dealt to one task for each so many.
 SALT_ROWS = 50_000
 #: Sets of a group, and so texts that a task holds at once.
 GROUP = 32
@@ -120,6 +120,21 @@ def _sets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, sid long, low long")
 
 
+def _common_tokens(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of at least ``COMMON`` sets, sorted, with lower bounds of their counts; of too many, those above the least power of two that leaves few enough."""
+    low = cut(summaries.groupBy("sid").agg(F.sum("low").alias("low")).where(F.col("low") >= COMMON))
+    least, left = COMMON, COMMON_MOST
+    for r in low.groupBy(F.floor(F.log2("low")).cast("int").alias("bits")).count().orderBy(F.desc("bits")).collect():  # 63 rows at most
+        left -= r["count"]
+        if left < 0:
+            least = 2 << r.bits
+            break
+    found = low.where(F.col("low") >= least).toArrow()
+    tokens, counts = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
 def _prefix(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     """The first tokens of a set, rare ones before common ones, and how much of the set is rare, of 65535.
 
@@ -128,8 +143,7 @@ def _prefix(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple
     """
     n = len(tokens)
     want = n - _need(n) + _spare(n)
-    at = np.searchsorted(common, tokens)
-    hot = common[np.minimum(at, len(common) - 1)] == tokens if len(common) else np.zeros(n, bool)
+    at, hot = _find(common, tokens)
     rare = tokens[~hot]
     rank = 65535 * len(rare) // n
     if len(rare) < want:
@@ -142,11 +156,17 @@ _ENTRY = np.dtype([("key", "<u8"), ("sid", "<i8"), ("rank", "<u2")])
 
 
 def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
-    """``(base, key, sid, rank)``: prefix tokens of at least two sets. ``key`` splits a common token's sets; ``base`` doesn't."""
-    sent = docs.sparkSession.sparkContext.broadcast((common, counts))
+    """``(base, key, sid, rank)``: prefix tokens (``base``) of at least two sets; ``key`` is the part of the token's sets that one task holds.
+
+    The sets of a common token are dealt to as many buckets as its count asks for when they leave the map
+    side, so that no task ever holds all of a token's.
+    """
+    many = -(-counts // SALT_ROWS)
+    split = many > 1
+    sent = docs.sparkSession.sparkContext.broadcast((common, counts, common[split], many[split]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, sizes = sent.value
+        hot, sizes, wide, parts = sent.value
         for batch in batches:
             for i in range(0, batch.num_rows, 4000):
                 seen, keys, sids, ranks, lens = set(), [], [], [], []
@@ -162,10 +182,15 @@ def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, buckets:
                     lens.append(len(prefix))
                 if not keys:
                     continue
-                token = mix(np.concatenate(keys))
+                token = np.concatenate(keys)
                 rows = np.empty(len(token), _ENTRY)
                 rows["key"], rows["sid"], rows["rank"] = token, np.repeat(np.array(sids, np.int64), lens), np.repeat(np.array(ranks, np.uint16), lens)
-                bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                dealt = mix(token)
+                at, is_wide = _find(wide, token)
+                if is_wide.any():
+                    part = mix(rows["sid"][is_wide].view(np.uint64)) % parts[at[is_wide]].astype(np.uint64)
+                    dealt[is_wide] = mix(dealt[is_wide] + part * np.uint64(0x9E3779B97F4A7C15))
+                bucket = ((dealt >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows = rows[order]
@@ -173,7 +198,7 @@ def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, buckets:
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "rows"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[bytes]] = {}
+        wide, found = sent.value[2], {}
         for batch in batches:
             for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found.setdefault(bucket, []).append(rows)
@@ -184,12 +209,9 @@ def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, buckets:
             rows = rows[first]
             start = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
             size = np.diff(np.append(start, len(rows)))
-            many = np.repeat(size > 1, size)
-            salts = np.repeat(-(-size // SALT_ROWS), size)[many]
-            rows = rows[many]
-            base = rows["key"].copy().view(np.int64)
-            salt = (mix(rows["sid"].astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
-            key = mix(base.view(np.uint64) + np.uint64(0x9E37) * salt.view(np.uint64)).view(np.int64)
+            rows = rows[np.repeat((size > 1) | _find(wide, rows["key"][start])[1], size)]
+            token = rows["key"].copy()
+            base, key = mix(token).view(np.int64), mix(token + np.uint64(bucket + 1)).view(np.int64)
             for i in range(0, len(rows), 100_000):
                 j = slice(i, i + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(base[j]), pa.array(key[j]), pa.array(rows["sid"][j].copy()), pa.array(rows["rank"][j].astype(np.int32))], ["base", "key", "sid", "rank"])
@@ -198,6 +220,12 @@ def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, buckets:
     return sent_rows.repartition(-(-buckets // 4), "bucket").mapInArrow(gather, "base long, key long, sid long, rank int")
 
 
+def _find(among: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where tokens are among sorted ones, and whether they are."""
+    at = np.minimum(np.searchsorted(among, tokens), max(0, len(among) - 1))
+    return at, among[at] == tokens if len(among) else np.zeros(len(tokens), bool)
+
+
 def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
 
@@ -241,9 +269,9 @@ def _leader_pairs(postings: DataFrame, turn: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
-def _band(n: np.ndarray) -> np.ndarray:
+def _band_of(n: str) -> Column:
     """Sizes in bands of a thirtieth or so."""
-    return np.floor(np.log(n) / np.log(_BAND)).astype(np.int64)
+    return F.floor(F.log(n) / F.log(F.lit(_BAND)))
 
 
 _BAND = 1.03
@@ -259,28 +287,23 @@ def _partners(postings: DataFrame, sets: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = _columns(batches)
-        if not cols:
-            return
-        base, comp, sid, n = cols
-        band, list_of = _band(n), np.unique(base, return_inverse=True)[1]
-        code = list_of * 4096 + band + 2 * _REACH
-        order = np.lexsort((comp, code))
-        start = _runs(code[order])
-        codes, first, last = code[order][start], comp[order][start], comp[order][np.append(start[1:], len(code)) - 1]
-        own, at_own = np.unique(sid, return_inverse=True)
-        counts = []
-        for step in steps:
-            at = np.minimum(np.searchsorted(codes, code + step), len(codes) - 1)
-            hit = (codes[at] == code + step) & ((first[at] != comp) | (last[at] != comp))
-            counts.append(np.bincount(at_own[hit], minlength=len(own)))
-        rows = np.empty(len(own), kind)
-        rows["sid"], rows["shared"] = own, np.stack(counts, 1)
-        bucket = (mix(own.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        ends, rows = np.searchsorted(bucket[order], np.arange(buckets + 1)), rows[order]
-        full = np.flatnonzero(np.diff(ends))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "rows"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sid, comp, band = (batch.column(k).to_numpy() for k in range(3))
+            lists = batch.column(3)
+            row, flat = np.repeat(np.arange(len(sid)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+            low, high, step = flat.field("low").to_numpy(), flat.field("high").to_numpy(), flat.field("band").to_numpy() - band[row]
+            hit = (np.abs(step) <= _REACH) & ((low != comp[row]) | (high != comp[row]))
+            own, at_own = np.unique(sid, return_inverse=True)
+            counts = np.bincount(at_own[row[hit]] * len(steps) + step[hit] + _REACH, minlength=len(own) * len(steps)).reshape(len(own), -1)
+            rows = np.empty(len(own), kind)
+            rows["sid"], rows["shared"] = own, counts
+            bucket = (mix(own.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends, rows = np.searchsorted(bucket[order], np.arange(buckets + 1)), rows[order]
+            full = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "rows"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(r, kind) for batch in batches for r in batch.column(1).to_pylist()]
@@ -296,9 +319,12 @@ def _partners(postings: DataFrame, sets: DataFrame) -> DataFrame:
     steps = range(-_REACH, _REACH + 1)
     kind = np.dtype([("sid", "<i8"), ("shared", "<i4", (len(steps),))])
     buckets = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.select("base", "comp", "sid", "n").repartition("base").mapInArrow(run, "bucket int, rows binary")
+    banded = postings.select("base", "comp", "sid", _band_of("n").cast("int").alias("band"))
+    lists = banded.groupBy("base", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))  # however long a token's list is, it has few bands
+    lists = lists.groupBy("base").agg(F.collect_list(F.struct("band", "low", "high")).alias("bands"))
+    dealt = banded.join(lists, "base").select("sid", "comp", "band", "bands").mapInArrow(run, "bucket int, rows binary")
     shared = dealt.repartition(buckets, "bucket").mapInArrow(add, "sid long, step long, shared long").join(sets.select("sid", "n"), "sid")
-    at = F.floor(F.log("n") / F.log(F.lit(_BAND))) + F.col("step")
+    at = _band_of("n") + F.col("step")
     low = F.greatest(F.floor(F.pow(F.lit(_BAND), at)), F.ceil(F.col("n") * PERCENT / 100))
     high = F.least(F.ceil(F.pow(F.lit(_BAND), at + 1)), F.floor(F.col("n") * 100 / PERCENT))
     able = shared.withColumns({"low": low.cast("long"), "high": high.cast("long")}).where("low <= high")
@@ -320,39 +346,26 @@ def _few(must: Column) -> Column:
     return F.least(must, F.lit(FEW))
 
 
-def _asked_groups(postings: DataFrame) -> DataFrame:
-    """``(sid, g, shared)``: the matrix's rows joined: how much of a query's prefix is in the prefixes of a group of another component.
+def _matrix(postings: DataFrame) -> DataFrame:
+    """``(base, g, comp, size, band, mask)``: the token-group matrix, a row for each token of the union of a group's tokens.
 
-    Of two components the smaller asks, and so every pair of sets is met once; both must be able to link into the other's band.
+    A group's members are of one component and one band of sizes; ``mask`` has the bands that any may link into.
     """
+    own = [F.min(c).alias(c) for c in ("comp", "size", "band")]
+    return cut(postings.groupBy("base", "g").agg(*own, F.bit_or("mask").alias("mask")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = _columns(batches)
-        if not cols:
-            return
-        order = np.lexsort((cols[1], cols[2], cols[0]))
-        base, comp, size, sid, g, n, mask = (x[order] for x in cols)
-        band, start, hits = _band(n), _runs(base), {}
-        for i, j in zip(start.tolist(), np.append(start[1:], len(base)).tolist(), strict=True):
-            c, b, groups = comp[i:j], band[i:j], g[i:j]
-            for k in range(i, j):
-                step = b - band[k]
-                near = (np.abs(step) <= _REACH) & (c != comp[k])
-                near[: k - i] = False  # a smaller component's, which asks itself
-                near &= (mask[k] >> (step.clip(-_REACH, _REACH) + _REACH) & 1 == 1) & (mask[i:j] >> ((-step).clip(-_REACH, _REACH) + _REACH) & 1 == 1)
-                for other in set(groups[near].tolist()):
-                    hits[int(sid[k]), other] = hits.get((int(sid[k]), other), 0) + 1
-            if len(hits) > 200_000:
-                yield _hits(hits)
-                hits = {}
-        if hits:
-            yield _hits(hits)
-
-    def _hits(hits: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in hits], pa.int64()), pa.array([k[1] for k in hits], pa.int64()), pa.array(list(hits.values()), pa.int64())], ["sid", "g", "shared"])
-
-    dealt = postings.select("base", "comp", "size", "sid", "g", "n", "mask").repartition("base")
-    return dealt.mapInArrow(run, "sid long, g long, shared long").groupBy("sid", "g").agg(F.sum("shared").alias("shared"))
+
+def _asked_groups(postings: DataFrame, matrix: DataFrame) -> DataFrame:
+    """``(sid, g, shared)``: of how many tokens of a query the matrix has a group of another component.
+
+    Of two components the smaller asks, and so every pair of sets is met once; both must be able to link into the other's band.
+    """
+    bit = lambda mask, at: F.getbit(mask, at)
+    bands = F.filter(F.sequence(F.lit(0), F.lit(2 * _REACH)), lambda i: bit(F.col("mask"), i) == 1)
+    asks = postings.select("base", "sid", F.struct("size", "comp").alias("mine"), F.col("band").alias("own"), F.explode(F.transform(bands, lambda i: F.col("band") + i - _REACH)).alias("band"))
+    held = matrix.select("base", "band", "g", F.struct("size", "comp").alias("its"), F.col("mask").alias("into"))
+    met = asks.join(held, ["base", "band"]).where((F.col("mine") < F.col("its")) & (F.col("mine.comp") != F.col("its.comp")) & (bit(F.col("into"), (F.col("own") - F.col("band") + _REACH).cast("int")) == 1))
+    return met.groupBy("sid", "g").agg(F.count("*").alias("shared"))
 
 
 def _open(members: DataFrame, queries: DataFrame) -> DataFrame:
@@ -461,11 +474,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     every = cut(_sets(light))
     rows = every.where("n is not null")
     sets = cut(rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("least"), F.max("n").alias("n")))
-    often = every.where("n is null").groupBy("sid").agg(F.sum("low").alias("low")).where(F.col("low") >= COMMON).orderBy(F.desc("low"), "sid").limit(COMMON_MOST).collect()
-    common = np.array(sorted((r.sid & (2**64 - 1), r.low) for r in often), np.uint64).reshape(-1, 2)
+    common, counts = _common_tokens(every.where("n is null"))
     entries = sets.agg(F.sum(F.col("n") * 0.375 + 2)).first()[0] or 0
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries // 2_000_000))
-    postings = cut(_postings(light, common[:, 0].copy(), common[:, 1].astype(np.int64), buckets))
+    postings = cut(_postings(light, common, counts, buckets))
     postings = _able(postings, sets)
     texts = _pick(light, cut(sets.join(postings.select("sid").distinct(), "sid").select("one.*", "sid")), buckets // 4)
     comps = None
@@ -478,12 +490,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     now = _able(now.join(mixed, "base"), sets).join(sets.select("sid", "n"), "sid").select("base", "comp", "sid", "n")
     for _ in range(PARTNER_ROUNDS):  # who goes takes partners from others
         now = _partners(now, sets)
-    members = now.select("comp", "sid", "n").distinct().withColumn("band", F.floor(F.log("n") / F.log(F.lit(_BAND))))
+    members = now.select("comp", "sid", "n").distinct().withColumn("band", _band_of("n").cast("int"))
     count = members.groupBy("comp", "band").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     members = members.join(count, ["comp", "band"]).join(members.groupBy("comp").agg(F.count("*").alias("size")), "comp")
-    members = cut(members.join(now.groupBy("sid").agg(F.first("must").alias("must")), "sid").select("sid", "n", "size", "must", F.xxhash64("comp", "band", F.pmod(F.xxhash64("sid"), F.col("groups"))).alias("g")))
+    members = cut(members.join(now.groupBy("sid").agg(F.first("must").alias("must")), "sid").select("sid", "band", "size", "must", F.xxhash64("comp", "band", F.pmod(F.xxhash64("sid"), F.col("groups"))).alias("g")))
     least_of = members.groupBy("g").agg(F.min("must").alias("least"))
-    asked = _asked_groups(_shortened(now).join(members.select("sid", "g", "size"), "sid")).join(members.select("sid", "must"), "sid").join(least_of, "g")
+    short = _shortened(now).join(members.select("sid", "g", "size", "band"), "sid")
+    asked = _asked_groups(short, _matrix(short)).join(members.select("sid", "must"), "sid").join(least_of, "g")
     asked = asked.where(F.col("shared") >= _few(F.least("must", "least")))
     asked = cut(asked.select("g", "sid"))
     comps = _joined(comps, _verified(asked, members.select("g", "sid"), texts)).withColumnRenamed("node", "sid")
@@ -506,9 +519,9 @@ def _with_components(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with the smallest id of each component, with all their columns; documents without words and rows without id all stay."""
+    """The rows with the smallest id of each component, with all their columns, whatever their names; documents without words and rows without id all stay."""
     found = _components(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = cut(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    gone = cut(found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
-    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"))
+    return rows.join(gone, ["id", "key"], "left_anti").select("row.*")

@@ -80,10 +80,11 @@ def brute_components(rows):
     return {i: (len(x), root(i)) for i, x in sets}
 
 
-@pytest.mark.parametrize("group,salt", [(32, 50_000), (2, 10)])
-def test_near_duplicates(spark, monkeypatch, group, salt):
+@pytest.mark.parametrize("group,salt,most", [(32, 50_000, 1_000_000), (2, 10, 1_000_000), (3, 20, 50)])
+def test_near_duplicates(spark, monkeypatch, group, salt, most):
     monkeypatch.setattr(jaccard, "GROUP", group)
     monkeypatch.setattr(jaccard, "SALT_ROWS", salt)
+    monkeypatch.setattr(jaccard, "COMMON_MOST", most)
     rows = corpus(group)
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     found = jaccard.near_duplicates(docs).collect()
@@ -93,6 +94,48 @@ def test_near_duplicates(spark, monkeypatch, group, salt):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted({c for _, c in want.values()})
 
 
+def _same_components(spark, rows):
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    want = brute_components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want and len(found) == len(rows)
+    return want
+
+
+def test_sets_of_sizes_inside_a_band_link(spark):
+    """30 pairs of a set of 6 shingles and one of 7 that holds it, each with short texts that lead the lists of its tokens."""
+    rows, n = [], 0
+    for pair in range(30):
+        base = [f"p{pair}w{k}" for k in range(10)]
+        texts = [base, base + [f"p{pair}end"]]
+        for k in range(12):
+            texts.append(base[k % 6 : k % 6 + 5] + [f"p{pair}q{k}"])
+        for t in texts:
+            rows.append((n, " ".join(t), 0, "x"))
+            n += 1
+    want = _same_components(spark, rows)
+    assert sum(want[14 * p + 1][1] == 14 * p for p in range(30)) == 30
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_phrases(spark, seed):
+    """Short texts of a few phrases in changing order, many of them just above or below the threshold."""
+    rng = random.Random(seed)
+    phrases = [[f"f{p}w{k}" for k in range(rng.randrange(3, 12))] for p in range(25)]
+    rows = []
+    for i in range(1200):
+        text = [w for p in rng.choices(phrases, k=rng.randrange(1, 5)) for w in p]
+        if rng.random() < 0.5:
+            text.insert(rng.randrange(len(text) + 1), f"own{rng.randrange(300)}")
+        rows.append((i * 2, " ".join(text), 0, "x"))
+    _same_components(spark, rows)
+
+
+def test_columns_with_the_operators_own_names_stay(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h" + " i" * (i % 2), 500, 501, 502, 503) for i in range(6)], "doc_id long, text string, __id int, __key int, row int, key int")
+    left = jaccard.keep_one_of_each(docs)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(0, "a b c d e f g h", 500, 501, 502, 503)]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(5, "a b c d e f g", 0, ""), (5, "a b c d e f g", 0, ""), (None, "A b c d e f g", 0, ""), (2, "a b c d  e f g", 0, ""), (None, None, 0, ""), (9, "word " * 30_000, 0, ""), (8, "word " * 9, 0, "")]
     found = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
@@ -110,7 +153,7 @@ def test_least_shared_tokens_of_a_band(spark):
     rows = []
     for n in [*range(1, 400), *range(5000, 5056), *range(20_000, 20_056)]:
         for step in range(-jaccard._REACH, jaccard._REACH + 1):
-            at = int(jaccard._band(np.int64(n))) + step
+            at = int(np.log(n) // np.log(jaccard._BAND)) + step
             low, high = max(int(jaccard._BAND**at), -(-n * 75 // 100)), min(int(np.ceil(jaccard._BAND ** (at + 1))), n * 100 // 75)
             if low <= high:
                 rows.append((n, low, high, int(must(n, np.arange(low, high + 1)).min())))
