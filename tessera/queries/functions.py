@@ -136,10 +136,10 @@ def vec_filtered_top_k(spark, d):
     return found.select("vec_id", F.round("dist", 6).alias("dist"))
 
 
-@query("SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 3 QUALIFY rank BETWEEN 2 AND 10")
+@query("SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank BETWEEN 2 AND 10")
 def vec_batch_top_k(spark, d):
     e = t(spark, d, "embeddings")
-    asks = e.where("vec_id % 10 = 3").selectExpr("vec_id AS query_id", "embedding AS query")
+    asks = e.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
     found = V.nearest_of_each(asks, e.withColumnRenamed("vec_id", "id"), 10, "<=>")
     return found.where("rank > 1").select("query_id", "id", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
 

@@ -29,14 +29,14 @@ def doc_logic(spark, d):
     return documents.find(_events(spark, d), {"$or": [{"tags": "click"}, {"props.k": {"$lte": 10}}], "$nor": [{"props.k": {"$in": [3, 4]}}]}).select("id")
 
 
-@query(_EVENTS + "event_id < 5")
+@query(_EVENTS + "true")
 def doc_exists_size(spark, d):
-    return documents.find(_events(spark, d).where("id < 5"), {"tags": {"$size": 2}, "missing": {"$exists": False}, "props": {"$exists": True}, "$and": []}).select("id")
+    return documents.find(_events(spark, d), {"tags": {"$size": 2}, "missing": {"$exists": False}, "props": {"$exists": True}, "$and": []}).select("id")
 
 
-@query("SELECT event_id AS id, CASE WHEN event_id = 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) + 5 ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events WHERE event_id < 50")
+@query("SELECT event_id AS id, CASE WHEN event_id = 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) + 5 ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events")
 def doc_update(spark, d):
-    found = documents.update_one(_events(spark, d).where("id < 50"), {"event_id": {"$gte": 0}}, {"$inc": {"props.k": 5}, "$set": {"seen": True}, "$unset": {"value": 1}})
+    found = documents.update_one(_events(spark, d), {"event_id": {"$gte": 0}}, {"$inc": {"props.k": 5}, "$set": {"seen": True}, "$unset": {"value": 1}})
     return found.select("id", documents.field(F.col("doc"), "props.k", "int").alias("k"))
 
 
@@ -141,93 +141,75 @@ def udf_plpgsql(spark, d):
 
 
 def _log(spark, d):
-    """Events as entries: each refers to its user's event before."""
-    e = t(spark, d, "events").where("event_id < 400")
-    before = F.expr("lag(event_id) OVER (PARTITION BY user_id % 20 ORDER BY event_id)")
-    return e.select(F.concat(F.lit("h"), F.lpad(F.col("event_id").cast("string"), 6, "0")).alias("hash"), F.col("event_type").alias("payload"), F.when(before.isNotNull(), F.array(F.concat(F.lit("h"), F.lpad(before.cast("string"), 6, "0")))).otherwise(F.array().cast("array<string>")).alias("next"), F.col("event_id").alias("time"), (F.col("user_id") % 20).cast("string").alias("id"))
+    """All events as entries: each refers to its user's event before."""
+    name = lambda c: F.concat(F.lit("h"), F.lpad(c.cast("string"), 19, "0"))
+    before = F.expr("lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id)")
+    return t(spark, d, "events").select(name(F.col("event_id")).alias("hash"), F.col("event_type").alias("payload"), F.when(before.isNotNull(), F.array(name(before))).otherwise(F.array().cast("array<string>")).alias("next"), F.col("event_id").alias("time"), F.col("user_id").cast("string").alias("id"))
 
 
-_H = "'h' || lpad(CAST(event_id AS VARCHAR), 6, '0')"
+_H = "'h' || lpad(CAST(event_id AS VARCHAR), 19, '0')"
 
 
-@query(f"SELECT {_H} AS hash FROM events WHERE event_id < 400 QUALIFY event_id = max(event_id) OVER (PARTITION BY user_id % 20)")
+@query(f"SELECT {_H} AS hash FROM events QUALIFY event_id = max(event_id) OVER (PARTITION BY user_id)")
 def log_heads(spark, d):
     return log.heads(_log(spark, d)).select("hash")
 
 
-@query(f"SELECT {_H} AS hash FROM events WHERE event_id < 400 QUALIFY event_id = min(event_id) OVER (PARTITION BY user_id % 20)")
+@query(f"SELECT {_H} AS hash FROM events QUALIFY event_id = min(event_id) OVER (PARTITION BY user_id)")
 def log_tails(spark, d):
     return log.tails(_log(spark, d)).select("hash")
 
 
-@query(f"SELECT {_H} AS hash FROM events WHERE event_id < 400 ORDER BY event_id DESC LIMIT 50")
+@query(f"SELECT {_H} AS hash FROM (SELECT event_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events) WHERE event_type <> 'click' AND after = 'click'")
+def log_tail_hashes(spark, d):
+    """References of clicks to entries that a log of clicks alone hasn't."""
+    return log.tail_hashes(_log(spark, d).where("payload = 'click'")).select("hash")
+
+
+@query(f"SELECT {_H} AS hash FROM events")
 def log_join(spark, d):
     whole = _log(spark, d)
-    return log.join(whole.where("time < 300"), whole.where("time >= 200"), 50).select("hash")
+    return log.join(whole.where("payload <> 'click'"), whole.where("payload <> 'view'")).select("hash")
 
 
-@query(f"SELECT {_H} AS hash FROM events WHERE event_id < 400 AND event_id >= 300")
+@query(f"SELECT {_H} AS hash FROM events ORDER BY event_id DESC LIMIT 50")
+def log_join_truncated(spark, d):
+    whole = _log(spark, d)
+    return log.join(whole.where("payload <> 'click'"), whole.where("payload <> 'view'"), 50).select("hash")
+
+
+@query(f"SELECT {_H} AS hash FROM events WHERE event_type = 'click'")
 def log_diff(spark, d):
     whole = _log(spark, d)
-    return log.diff(whole, whole.where("time < 300")).select("hash")
+    return log.diff(whole, whole.where("payload <> 'click'")).select("hash")
 
 
-@query(f"SELECT {_H} AS hash FROM events WHERE event_id < 400 AND user_id % 20 = (SELECT user_id % 20 FROM events WHERE event_id = 399) ORDER BY event_id DESC LIMIT 30")
+@query(f"SELECT {_H} AS hash FROM events WHERE user_id = (SELECT max_by(user_id, event_id) FROM events)")
 def log_traverse(spark, d):
+    """What the log's last entry is built on."""
     whole = _log(spark, d)
-    return log.traverse(whole, whole.where("hash = 'h000399'"), 30).select("hash")
+    return log.traverse(whole, whole.agg(F.max("hash").alias("hash"))).select("hash")
 
 
-@query(f"SELECT {_H} AS hash FROM events WHERE event_id > 100 AND event_id < 400 ORDER BY event_id LIMIT 10")
+@query(f"SELECT {_H} AS hash FROM events WHERE event_id > 100")
 def log_range(spark, d):
-    return log.read_range(_log(spark, d), gt="h000100", amount=10).select("hash")
+    return log.read_range(_log(spark, d), gt="h" + "100".zfill(19)).select("hash")
 
 
-@query(f"SELECT {_H} AS hash FROM events WHERE event_id < 200 ORDER BY event_id DESC LIMIT 10")
+@query(f"SELECT {_H} AS hash FROM events WHERE event_id < 900 ORDER BY event_id DESC LIMIT 10")
 def log_range_last(spark, d):
-    return log.read_range(_log(spark, d), lt="h000200", amount=10).select("hash")
-
-
-def _whole_log(spark, d):
-    """All events as entries: each refers to its user's event before."""
-    name = lambda c: F.concat(F.lit("h"), F.lpad(c.cast("string"), 19, "0"))
-    before = F.expr("lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id)")
-    return t(spark, d, "events").select(name(F.col("event_id")).alias("hash"), F.col("event_type").alias("payload"), F.when(before.isNotNull(), F.array(name(before))).otherwise(F.array().cast("array<string>")).alias("next"), F.col("event_id").alias("time"), F.col("user_id").cast("string").alias("id"))
-
-
-_W = "'h' || lpad(CAST(event_id AS VARCHAR), 19, '0')"
-
-
-@query(f"SELECT {_W} AS hash FROM events QUALIFY event_id = max(event_id) OVER (PARTITION BY user_id)")
-def log_heads_whole(spark, d):
-    return log.heads(_whole_log(spark, d)).select("hash")
-
-
-@query(f"SELECT {_W} AS hash FROM events QUALIFY event_id = min(event_id) OVER (PARTITION BY user_id)")
-def log_tails_whole(spark, d):
-    return log.tails(_whole_log(spark, d)).select("hash")
-
-
-@query(f"SELECT {_W} AS hash FROM events")
-def log_join_whole(spark, d):
-    whole = _whole_log(spark, d)
-    return log.join(whole.where("payload <> 'click'"), whole.where("time >= 200 OR payload = 'click'")).select("hash")
-
-
-@query(f"SELECT {_W} AS hash FROM events WHERE event_id >= 300")
-def log_diff_whole(spark, d):
-    whole = _whole_log(spark, d)
-    return log.diff(whole, whole.where("time < 300")).select("hash")
+    return log.read_range(_log(spark, d), lt="h" + "900".zfill(19), amount=10).select("hash")
 
 
-@query(f"SELECT {_W} AS hash FROM events WHERE event_id > 100")
-def log_range_whole(spark, d):
-    return log.read_range(_whole_log(spark, d), gt="h" + "100".zfill(19)).select("hash")
+@query(f"SELECT {_H} AS hash, event_type AS payload FROM events WHERE event_id = 100")
+def log_get(spark, d):
+    return log.get(_log(spark, d), "h" + "100".zfill(19)).select("hash", "payload")
 
 
-@query(f"SELECT {_W} AS hash FROM events WHERE event_id < 900 ORDER BY event_id DESC LIMIT 10")
-def log_range_last_whole(spark, d):
-    return log.read_range(_whole_log(spark, d), lt="h" + "900".zfill(19), amount=10).select("hash")
+@query("SELECT max(event_id) + 1 AS now, greatest(max(event_id), 7) AS merged FROM events")
+def log_clock(spark, d):
+    time = F.col("time")
+    return log.clock(_log(spark, d)).select(log.tick(time).alias("now"), log.merge_clocks(time, F.lit(7)).alias("merged"))
 
 
 @query("SELECT user_id AS key, max_by(value, event_id) AS value FROM events GROUP BY user_id HAVING max_by(event_type, event_id) <> 'click'")
@@ -256,9 +238,9 @@ def cdc_bound(spark, d):
     return changes.bound(_feed(spark, d), "UPDATE", table="events", filter="user_id=eq.7").select(F.col("commit_time").alias("event_id"))
 
 
-@query("SELECT event_id FROM events WHERE event_type <> 'click' AND user_id % 3 = 0")
+@query("SELECT event_id FROM events WHERE event_type <> 'click' AND user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
 def cdc_authorised(spark, d):
-    mine = t(spark, d, "events").where("user_id % 3 = 0").select("user_id")
+    mine = t(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("user_id"))
     return changes.authorised(_feed(spark, d), mine, "user_id").select(F.col("commit_time").alias("event_id"))
 
 
@@ -276,7 +258,7 @@ def cdc_windowed_counts(spark, d):
 def trigger_due_tasks(spark, d):
     e = t(spark, d, "events").select("event_id", F.concat(F.lit("/events/"), "event_type").alias("address"))
     rules = [changes.TriggerRule("clicks", "/events/click", "count"), changes.TriggerRule("all", "/events/", "log")]
-    return changes.due_tasks(e.unionByName(e.where("event_id < 10")), rules).select("rule", "event_id")
+    return changes.due_tasks(e.unionByName(e), rules).select("rule", "event_id")
 
 
 @query("SELECT user_id AS task, event_type AS output, count(*) AS votes FROM events GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) = 1")

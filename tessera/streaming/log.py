@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.recursive import recurse
+from tessera.operators.recursive import checkpointed
 
 #: Later entries last: clock time, clock id, hash.
 CAUSAL = ("time", "id", "hash")
@@ -55,11 +55,40 @@ def merge_clocks(a: Column, b: Column) -> Column:
     return F.greatest(a, b)
 
 
+def add(log: DataFrame, payloads: DataFrame, writer: str) -> DataFrame:
+    """The log and new entries on top of all its heads, one for each row of ``payloads(payload)``; empty payloads are an error."""
+    if not payloads.where("payload is null or length(payload) = 0").isEmpty():
+        raise ValueError("payload must not be empty")
+    tops = heads(log).agg(F.array_sort(F.collect_list("hash")).alias("next"))  # as many as writers at work
+    new = payloads.select("payload").crossJoin(F.broadcast(tops)).crossJoin(F.broadcast(clock(log)))  # two single rows
+    new = new.withColumns({"time": tick(F.col("time")), "id": F.lit(writer)})
+    mark = F.sha2(F.concat_ws("\x1f", F.col("payload").cast("string"), F.array_join("next", ","), F.col("time").cast("string"), "id"), 256)
+    return log.unionByName(new.withColumn("hash", mark).select(*log.columns)).dropDuplicates(["hash"])
+
+
+def get(log: DataFrame, key: str) -> DataFrame:
+    """The entry with a hash, if any."""
+    return log.where(F.col("hash") == key)
+
+
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Hashes reachable over ``edges(hash, ref)``, the start among them.
+
+    What is found and the jumps it is found by double in length each round, so a history of n entries takes log n rounds.
+    """
+    jumps, found = edges.select("hash", "ref").distinct(), checkpointed(start.distinct())
+    known = found.count()
+    while True:
+        found = checkpointed(found.union(found.join(jumps, "hash").select("ref")).distinct())
+        if (n := found.count()) == known:
+            return found
+        known, to = n, jumps.toDF("ref", "to")
+        jumps = checkpointed(jumps.join(to, "ref").select("hash", F.col("to").alias("ref")).distinct())
+
+
 def traverse(log: DataFrame, roots: DataFrame | None = None, amount: int | None = None, end_hash: str | None = None) -> DataFrame:
     """Entries reachable from the roots (the heads by default), newest first, down to ``end_hash``."""
-    edges = _edges(log)
-    start = (heads(log) if roots is None else roots).select("hash")
-    seen = recurse(start, lambda new: new.join(edges, "hash").select(F.col("ref").alias("hash")))
+    seen = reachable(_edges(log), (heads(log) if roots is None else roots).select("hash"))
     rows = log.join(seen, "hash", "left_semi")
     if end_hash is not None:
         end = log.where(F.col("hash") == end_hash).select(F.struct(*CAUSAL).alias("end"))
