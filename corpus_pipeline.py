@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import dedup, jaccard, langid, mixing, packing
-from tessera.llm.common import shared_dir, table
+from tessera.llm.common import remove, shared_dir, table
 from tessera.llm.queries import TOKENIZER
 
 
@@ -42,9 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over the documents; each stage's rows are written to the shared folder and read again.
+
+    A stage's folder goes once the next one's is complete; the last of them stays, as the result reads it.
+    """
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
