@@ -14,10 +14,13 @@ MOST_ROUNDS, MOST_ROWS = 100_000, 10_000_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A copy in the folder that the cluster shares; a folder of our own only where none is set."""
+    """A copy in the folder that the cluster shares; a folder of our own only in local mode, where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
