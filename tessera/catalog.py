@@ -8,6 +8,7 @@ from tessera.operators.relational import order_by
 from tessera.queries import functions as _functions
 from tessera.queries import languages as _languages
 from tessera.queries import relational as _relational
+from tessera.queries import surface as _surface
 from tessera.queries.registry import ORACLE_SQL, QUERIES, query, t
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -25,4 +26,4 @@ def flagship_revenue_by_nation(spark, d):
     return order_by(out.where("n_lines > 10"), "revenue desc", "n_name").limit(10)
 
 
-_AREAS = (_functions, _languages, _relational)  # importing them registers their queries
+_AREAS = (_functions, _languages, _relational, _surface)  # importing them registers their queries

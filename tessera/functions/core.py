@@ -118,16 +118,3 @@ def array_to_string(a: Column, separator: str) -> Column:
 def unnest_together(*arrays: Column) -> Column:
     """A generator of rows of several arrays side by side, the shorter padded with nulls."""
     return F.inline(F.arrays_zip(*arrays))
-
-
-def settings(spark, name: str, missing_ok: bool = True) -> str | None:
-    """A session variable, kept apart from Spark's own."""
-    value = spark.conf.get(f"tessera.var.{name}", None)
-    if value is None and not missing_ok:
-        raise KeyError(f"unrecognized configuration parameter {name}")
-    return value
-
-
-def set_config(spark, name: str, value: str) -> str:
-    spark.conf.set(f"tessera.var.{name}", value)
-    return value

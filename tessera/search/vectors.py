@@ -176,3 +176,39 @@ def embed_stream(feed: DataFrame, rule: Rule, target: str, checkpoint: str):
         refresh(rows, rule).write.mode("append").parquet(target)
 
     return feed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def answer(retrieved: DataFrame, question: str, model: Callable[[str], str], template: str = "Answer from this context.\n\n{context}\n\nQuestion: {question}", most: int = 8192) -> DataFrame:
+    """One row ``(context, prompt, answer)``: a prompt from what was retrieved, given to any function from text to text."""
+
+    @F.pandas_udf("string")
+    def ask(prompts: pd.Series) -> pd.Series:
+        return prompts.map(model)
+
+    before, after = template.replace("{question}", question).split("{context}")
+    return context(retrieved, most).withColumn("prompt", F.concat(F.lit(before), "context", F.lit(after))).withColumn("answer", ask("prompt"))
+
+
+#: Embedders by model name, with the hash of what they give for a probe once they are pinned.
+_EMBEDDERS: dict[str, tuple] = {}
+
+
+def fingerprint(embedder) -> str:
+    """What an embedder gives for a fixed text, as a digest."""
+    return hashlib.sha256(np.asarray(embedder.embed(["probe"])[0], "<f4").tobytes()).hexdigest()
+
+
+def register_embedder(embedder, pinned: str | None = None) -> str:
+    """Makes an embedder known by its name; an error if it doesn't give what it is pinned to."""
+    found = fingerprint(embedder)
+    known = pinned or (_EMBEDDERS.get(embedder.name) or (None, None))[1]
+    if known is not None and known != found:
+        raise ValueError(f"model {embedder.name} gives other vectors than it is pinned to")
+    _EMBEDDERS[embedder.name] = (embedder, found)
+    return found
+
+
+def embedder_of(name: str):
+    if name not in _EMBEDDERS:
+        raise KeyError(f"no embedder {name}")
+    return _EMBEDDERS[name][0]

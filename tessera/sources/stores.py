@@ -82,6 +82,29 @@ class KeyValueStore:
         return self.all().select("key")
 
 
+class DocumentStore(KeyValueStore):
+    """Documents as JSON texts by key, each batch under one tick of the clock."""
+
+    def put_batch(self, docs: DataFrame) -> None:
+        """Writes ``(key, doc)``; an error for a document that is no JSON object, and then none is written."""
+        bad = docs.where("key is null or key = '' or coalesce(schema_of_variant(try_parse_json(doc)), '') not like 'OBJECT%'")
+        if not bad.isEmpty():
+            raise ValueError("documents must be JSON objects under a key")
+        self.write(docs.select("key", F.encode("doc", "UTF-8").alias("value")))
+
+    def put_all(self, docs: DataFrame, size: int) -> None:
+        """The same in batches of about ``size`` documents by a hash of their keys, so that a failure leaves whole batches behind."""
+        batches = max(1, -(-docs.count() // size))
+        for i in range(batches):
+            self.put_batch(docs.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == i))
+
+    def delete_batch(self, keys: DataFrame) -> None:
+        self.write(keys.select("key"), "DEL")
+
+    def documents(self) -> DataFrame:
+        return self.all().select("key", F.decode("value", "UTF-8").alias("doc"))
+
+
 def documents_by_key(docs: DataFrame, key: str, ignore_case: bool = False, partial: bool = False) -> DataFrame:
     """Documents whose key equals or holds a text; in keys of several words blanks and dots are alike."""
     c, k = F.col("key"), key
@@ -101,22 +124,17 @@ def object_listing(objects: DataFrame, prefix: str = "", search: str = "", sort_
     return rows.orderBy(c.desc_nulls_first() if descending else c.asc_nulls_last(), "name").offset(offset).limit(limit)
 
 
-def information_schema_tables(spark: SparkSession) -> DataFrame:
-    """``(table_schema, table_name, table_type)`` of the session's catalog."""
-    rows = [(t.namespace[0] if t.namespace else "public", t.name, "LOCAL TEMPORARY" if t.isTemporary else "VIEW" if t.tableType == "VIEW" else "BASE TABLE") for t in spark.catalog.listTables()]
-    return spark.createDataFrame(rows, "table_schema string, table_name string, table_type string")
-
-
-def information_schema_columns(spark: SparkSession) -> DataFrame:
-    """``(table_name, column_name, ordinal_position, data_type, is_nullable)`` of the session's catalog."""
-    rows = [(t.name, f.name, i, f.dataType.simpleString(), "YES" if f.nullable else "NO") for t in spark.catalog.listTables() for i, f in enumerate(spark.table(t.name).schema, 1)]
-    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position int, data_type string, is_nullable string")
+def locks(spark: SparkSession) -> DataFrame:
+    """No locks are held, ever."""
+    return spark.createDataFrame([], "locktype string, relation string, mode string, granted boolean, pid int")
 
 
-def information_schema_schemata(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d.name,) for d in spark.catalog.listDatabases()], "schema_name string")
+def json_rows(df: DataFrame) -> DataFrame:
+    """One column ``row`` of JSON objects, nulls kept, as rows go over HTTP."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
 
 
-def locks(spark: SparkSession) -> DataFrame:
-    """No locks are held, ever."""
-    return spark.createDataFrame([], "locktype string, relation string, mode string, granted boolean, pid int")
+def text_rows(df: DataFrame) -> DataFrame:
+    """Every column in text form, as rows go over the wire: booleans as t and f."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.when(F.col(c), "t").when(~F.col(c), "f").alias(c) if kinds[c] == "boolean" else F.col(c).cast("string").alias(c) for c in df.columns])

@@ -43,7 +43,7 @@ def test_core(spark):
     sunday = F.lit(datetime.date(2024, 3, 3))
     assert v(core.extract("dow", sunday)) == 0 and v(core.extract("week", sunday)) == 9
     assert [tuple(r) for r in spark.range(1).select(core.unnest_together(lits(1, 2), lits("a"))).collect()] == [(1, "a"), (2, None)]
-    assert core.set_config(spark, "app.user", "al") == core.settings(spark, "app.user") == "al"
+    assert context.set_config(spark, "app.user", "al") == context.setting(spark, "app.user") == "al"
 
 
 def test_trigrams(spark):
