@@ -17,10 +17,11 @@ from tessera.llm.shingles import mix, word_hashes
 PASSAGE = 50
 #: Words of a suffix that choose it: of the grams within each passage, the one with the least hash is kept.
 GRAM = 8
-#: Places of a gram that one task may compare (4 MB); more are compared by partial aggregation.
+#: Places of a gram that are compared at once (4 MB); more are dealt to several parts, which are compared with one another after.
 COMMON = 10_000
 
-_CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("left", "<u1"), ("right", "<u1"), ("words", "<u4", (2 * PASSAGE,))])
+_CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("left", "<u1"), ("right", "<u1"), ("part", "?"), ("words", "<u4", (2 * PASSAGE,))])
+_OPEN = np.dtype([("h", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("asks", "?")])
 
 
 def gram_hashes(words: np.ndarray, width: int = GRAM) -> np.ndarray:
@@ -52,6 +53,9 @@ def _deal(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "rows"])
 
 
+_FOUND = ["doc", "start", "end"]
+
+
 def _gather(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
     found: dict[int, list[bytes]] = {}
     for batch in batches:
@@ -104,55 +108,54 @@ def _longest(order: np.ndarray, common: np.ndarray) -> np.ndarray:
     return out
 
 
-def _extended(rows: np.ndarray) -> np.ndarray:
-    """``(doc, start, end)`` of the passages around suffixes, all rows of a gram being there.
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _extended(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(doc, start, end)`` of the passages around suffixes, all rows of a gram or of a part of it being there; and what is open.
 
     Suffixes are sorted, and what is before them, read backwards, is too; neighbours give the longest matches to the
-    right and to the left, and suffixes whose two together are too short go. A match extended by ``back``
-    words to the left needs the rest of a passage to the right: rows with both in common, which are stretches of both
-    orders between neighbours of less, are in one class; a class with two documents is a repeat.
+    right and to the left, and suffixes whose two together are too short match nothing here. A match extended by
+    ``back`` words to the left needs the rest of a passage to the right: rows with both in common, which are
+    stretches of both orders between neighbours of less, are in one class; a class with two documents is a repeat.
+    Of a part of a gram, passages without a match stay open, as another part may have one, and one row of each
+    repeat stands for it there.
     """
-    rows = rows[_in_two(rows["h"], rows["doc"])]
+    rows = rows[rows["part"] | _in_two(rows["h"], rows["doc"])]
     if not len(rows):
-        return np.empty((0, 3), np.int64)
+        return np.empty((0, 3), np.int64), np.empty(0, _OPEN)
     right, left = _sorted_neighbours(rows["h"], rows["words"][:, PASSAGE:]), _sorted_neighbours(rows["h"], rows["words"][:, PASSAGE - 1 :: -1])
     near = _longest(*right) + _longest(*left) >= PASSAGE
     low, high = np.full(len(rows), PASSAGE), np.full(len(rows), -1)
-    classes = np.empty((2, len(rows)), np.int64)
+    classes, opened = np.empty((2, len(rows)), np.int64), []
+    part = np.flatnonzero(rows["part"])
+    if len(part):
+        with np.errstate(over="ignore"):
+            scale, undo = (np.cumprod(np.full(2 * PASSAGE, x, np.uint64)) for x in (_STEP, np.uint64(pow(int(_STEP), -1, 1 << 64))))
+            total = np.zeros((len(part), 2 * PASSAGE + 1), np.uint64)
+            np.cumsum((rows["words"][part].astype(np.uint64) + np.uint64(1)) * scale, axis=1, out=total[:, 1:])
     for back in range(PASSAGE - GRAM + 1):
-        able = np.flatnonzero(near & (rows["left"] >= back) & (rows["right"] >= PASSAGE - back))
-        if len(able) < 2:
-            continue
-        for k, ((order, common), least) in enumerate(((right, PASSAGE - back), (left, back))):
-            classes[k, order] = np.cumsum(common < least)
-        hit = able[_in_two(classes[0, able] * (len(rows) + 1) + classes[1, able], rows["doc"][able])]
-        low[hit], high[hit] = np.minimum(low[hit], back), np.maximum(high[hit], back)
+        whole = (rows["left"] >= back) & (rows["right"] >= PASSAGE - back)
+        able, hit = np.flatnonzero(near & whole), np.zeros(len(rows), bool)
+        if len(able):
+            for k, ((order, common), least) in enumerate(((right, PASSAGE - back), (left, back))):
+                classes[k, order] = np.cumsum(common < least)
+            own = classes[0, able] * (len(rows) + 1) + classes[1, able]
+            hit[able] = _in_two(own, rows["doc"][able])
+            low[hit], high[hit] = np.minimum(low[hit], back), np.maximum(high[hit], back)
+        if len(part):
+            stands = np.zeros(len(rows), bool)
+            if len(able):
+                stands[able[np.unique(own, return_index=True)[1]]] = True
+            at = np.flatnonzero((whole & (~hit | stands))[part])
+            with np.errstate(over="ignore"):
+                h = mix((total[at, 2 * PASSAGE - back] - total[at, PASSAGE - back]) * undo[PASSAGE - back - 1])
+            some = np.empty(len(at), _OPEN)
+            some["h"], some["doc"], some["start"], some["asks"] = h, rows["doc"][part[at]], rows["pos"][part[at]].astype(np.int64) - back, ~hit[part[at]]
+            opened.append(some)
     found = high >= 0
     pos = rows["pos"][found].astype(np.int64)
-    return np.stack([rows["doc"][found], pos - high[found], pos - low[found] + PASSAGE], 1)
-
-
-def _common_passages(asked: DataFrame) -> DataFrame:
-    """``(doc, start, end)`` of the passages around suffixes ``(doc, text, at)`` of grams too common for one task.
-
-    All passages that hold such a suffix are hashed; a hash's least and greatest document are found with
-    partial aggregation, so that a passage of any number of documents meets nowhere, and those of two are joined back.
-    """
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = word_hashes(text)
-                if len(words) < PASSAGE:
-                    continue
-                start = np.unique(np.array(at, np.int64)[:, None] - np.arange(PASSAGE - GRAM + 1))
-                start = start[(start >= 0) & (start <= len(words) - PASSAGE)]
-                h = gram_hashes(words, PASSAGE)[start]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), doc, np.int64)), pa.array(start)], ["w", "doc", "start"])
-
-    passages = cut(asked.mapInArrow(emit, "w long, doc long, start long"))
-    in_two = passages.groupBy("w").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("w")
-    return passages.join(in_two, "w").select("doc", "start", (F.col("start") + PASSAGE).alias("end"))
+    return np.stack([rows["doc"][found], pos - high[found], pos - low[found] + PASSAGE], 1), np.concatenate(opened) if opened else np.empty(0, _OPEN)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,44 +164,58 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A stretch is covered by passages of at least ``PASSAGE`` words that occur, word by word and with A-Z
     folded, in a document of another id; stretches that touch are one. Suffixes are kept at content-chosen
     words only, about one in 22; those whose first ``GRAM`` words are one document's go, the others are sorted,
-    compared with neighbours and extended left and right. Suffixes of a gram of more than ``COMMON``
-    places are compared by aggregation instead, with the same result. Words are compared by 32-bit hashes,
-    ``PASSAGE`` of them at a time. Documents without repeats, with null or short texts give no row; rows of
-    one id, of any type, are one document for this purpose, rows without id are documents by their text.
-    An empty table gives no row; other columns aren't read.
+    compared with neighbours and extended left and right. Suffixes of a gram of more than ``COMMON`` places are
+    dealt to parts by document; what has no match in its part is then compared with what the other parts
+    have left, a row for each of their repeats included, so that no task ever holds all of a gram. Words are
+    compared by 32-bit hashes, ``PASSAGE`` of them at a time. Documents without repeats, with null or
+    short texts give no row; rows of one id, of any type, are one document for this purpose, rows
+    without id are documents by their text. An empty table gives no row; other columns aren't read.
     """
     spark = prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     own = F.col(id_col).cast("long") if isinstance(kind, T.IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
     light = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(own, F.xxhash64(F.lit("no id"), text_col)).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kept = cut(_anchors(light))
-    grams = kept.groupBy("h").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("n")).where("x <> y").select("h", (F.col("n") > COMMON).alias("common"))
-    shared = cut(kept.join(grams, "h").groupBy("doc", "common").agg(F.collect_set("pos").alias("at")))
-    places = shared.agg(F.sum(F.size("at"))).first()[0] or 0
-    buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(places // 200_000))
+    grams = kept.groupBy("h").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("n")).where("x <> y").select("h", F.ceil(F.col("n") / COMMON).cast("int").alias("parts"))
+    shared = cut(kept.join(grams, "h").groupBy("doc").agg(F.collect_set(F.struct("pos", "parts")).alias("at")))
+    sums = shared.agg(F.sum(F.size("at")), F.max(F.array_max(F.transform("at", lambda a: a["parts"])))).first()
+    buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((sums[0] or 0) // 200_000))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                parts = []
+                done = []
                 for doc, text, at in zip(*(batch.column(k).slice(i, 500).to_pylist() for k in range(3)), strict=True):
                     words = word_hashes(text)
-                    pos = np.array(sorted(at), np.int64)
-                    pos = pos[pos <= len(words) - GRAM]  # of another row with this id
+                    pos, parts = np.array(sorted((a["pos"], a["parts"]) for a in at), np.int64).reshape(-1, 2).T
+                    here = pos <= len(words) - GRAM  # else of another row with this id
+                    pos, parts = pos[here], parts[here]
                     rows = np.zeros(len(pos), _CONTEXT)
                     padded = np.pad((words >> np.uint64(32)).astype(np.uint32), PASSAGE)
-                    rows["h"], rows["doc"], rows["pos"] = gram_hashes(words)[pos], doc, pos
+                    turn = mix(np.array([doc], np.int64).view(np.uint64)) % parts.astype(np.uint64)
+                    rows["h"], rows["doc"], rows["pos"], rows["part"] = gram_hashes(words)[pos], doc, pos, parts > 1
+                    rows["h"] = np.where(parts > 1, mix(rows["h"] + turn * np.uint64(0x9E3779B97F4A7C15)), rows["h"])
                     rows["left"], rows["right"] = np.minimum(pos, PASSAGE), np.minimum(len(words) - pos, PASSAGE)
                     rows["words"] = np.lib.stride_tricks.sliding_window_view(padded, 2 * PASSAGE)[pos]
-                    parts.append(rows)
-                if parts and sum(map(len, parts)):
-                    yield _deal(np.concatenate(parts), buckets)
+                    done.append(rows)
+                if done and sum(map(len, done)):
+                    yield _deal(np.concatenate(done), buckets)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _gather(batches, _CONTEXT):
-            found = _extended(rows)
+            found, opened = _extended(rows)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, k].copy()) for k in range(3)], ["doc", "start", "end"])
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k].copy()) for k in range(3)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], [*_FOUND, "bucket", "rows"])
+            if len(opened):
+                dealt = _deal(opened, buckets)
+                yield pa.RecordBatch.from_arrays([pa.nulls(dealt.num_rows, pa.int64())] * 3 + dealt.columns, [*_FOUND, "bucket", "rows"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _gather(batches, _OPEN):
+            rows = rows[_in_two(rows["h"], rows["doc"]) & rows["asks"]]
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(rows["doc"].copy()), pa.array(rows["start"].copy()), pa.array(rows["start"] + PASSAGE)], _FOUND)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, out = None, []
@@ -213,10 +230,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] - r[1] for r in out], pa.int64())], ["doc", "start_word", "n_words"])
 
-    asked = light.join(shared.where("not common"), "doc").select("doc", "text", "at").mapInArrow(emit, "bucket int, rows binary")
-    found = asked.repartition(-(-buckets // 4), "bucket").mapInArrow(compare, "doc long, start long, end long")
-    often = shared.where("common")
-    if not often.isEmpty():
-        found = found.unionByName(_common_passages(light.join(often, "doc").select("doc", "text", "at")))
+    ends = "doc long, start long, end long"
+    asked = light.join(shared, "doc").select("doc", "text", "at").mapInArrow(emit, "bucket int, rows binary")
+    found = asked.repartition(-(-buckets // 4), "bucket").mapInArrow(compare, f"{ends}, bucket int, rows binary")
+    if (sums[1] or 0) > 1:  # a gram has parts
+        found = cut(found)
+        opened = found.where("bucket is not null").select("bucket", "rows").repartition(-(-buckets // 4), "bucket")
+        found = found.where("bucket is null").select(*_FOUND).unionByName(opened.mapInArrow(meet, ends))
+    found = found.select(*_FOUND)
     merged = found.repartition("doc").sortWithinPartitions("doc", "start").mapInArrow(merge, "doc long, start_word long, n_words long")
     return merged.join(light.select("doc", F.col("id").alias("doc_id")).distinct(), "doc").select("doc_id", "start_word", "n_words")
