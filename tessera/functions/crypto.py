@@ -6,8 +6,11 @@ import base64
 import hashlib
 import hmac as _hmac
 import os
+import re
+import struct
 import unicodedata
 import uuid
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -99,3 +102,102 @@ def password_hash(password: str, salt: bytes | None = None, rounds: int = 200_00
     """A salted password hash (PBKDF2; bcrypt isn't offered)."""
     salt = salt or os.urandom(16)
     return f"pbkdf2${rounds}${base64.b64encode(salt).decode()}${hashlib.pbkdf2_hmac('sha256', password.encode(), salt, rounds).hex()}"
+
+
+# Passwords: bcrypt (Provos and Mazieres, A Future-Adaptable Password Scheme).
+
+_ALPHABET = "./ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_TEXT = b"OrpheanBeholderScryDoubt"
+
+
+@cache
+def _pi_words(n: int) -> tuple[int, ...]:
+    """The first 32-bit words of the fraction of pi, by Machin's formula: what Blowfish starts from."""
+    bits = 32 * n + 64
+
+    def arctan(x: int) -> int:
+        term, total, k, sign = (1 << bits) // x, 0, 1, 1
+        while term:
+            total += sign * (term // k)
+            term //= x * x
+            k, sign = k + 2, -sign
+        return total
+
+    fraction = (4 * (4 * arctan(5) - arctan(239))) & ((1 << bits) - 1)
+    return tuple(fraction >> (bits - 32 * (i + 1)) & 0xFFFFFFFF for i in range(n))
+
+
+class _Blowfish:
+    def __init__(self):
+        words = list(_pi_words(18 + 4 * 256))
+        self.p, self.s = words[:18], [words[18 + 256 * i : 274 + 256 * i] for i in range(4)]
+
+    def encrypt(self, left: int, right: int) -> tuple[int, int]:
+        p, (a, b, c, d) = self.p, self.s
+        for i in range(0, 16, 2):
+            left ^= p[i]
+            right ^= (((a[left >> 24] + b[left >> 16 & 255]) ^ c[left >> 8 & 255]) + d[left & 255]) & 0xFFFFFFFF
+            right ^= p[i + 1]
+            left ^= (((a[right >> 24] + b[right >> 16 & 255]) ^ c[right >> 8 & 255]) + d[right & 255]) & 0xFFFFFFFF
+        return right ^ p[17], left ^ p[16]
+
+    def expand(self, key: list[int], salt: list[int]) -> None:
+        self.p = [x ^ key[i % len(key)] for i, x in enumerate(self.p)]
+        left = right = turn = 0
+        for table in (self.p, *self.s):
+            for i in range(0, len(table), 2):
+                left, right = self.encrypt(left ^ salt[turn], right ^ salt[turn + 1])
+                table[i], table[i + 1] = left, right
+                turn = (turn + 2) % len(salt)
+
+
+def _words32(data: bytes) -> list[int]:
+    return list(struct.unpack(f">{len(data) // 4}I", data))
+
+
+def _to64(data: bytes) -> str:
+    bits = int.from_bytes(data) << (-8 * len(data) % 6)
+    n = -(-8 * len(data) // 6)
+    return "".join(_ALPHABET[bits >> 6 * (n - 1 - i) & 63] for i in range(n))
+
+
+def _from64(text: str, size: int) -> bytes:
+    bits = 0
+    for c in text:
+        bits = bits << 6 | _ALPHABET.index(c)
+    return (bits >> (6 * len(text) - 8 * size)).to_bytes(size)
+
+
+def gen_salt(kind: str = "bf", cost: int = 6) -> str:
+    """A new salt; only Blowfish's."""
+    if kind != "bf":
+        raise NotImplementedError("only bf salts are supported")
+    if not 4 <= cost <= 31:
+        raise ValueError("incorrect number of rounds")
+    return f"$2a${cost:02}${_to64(os.urandom(16))}"
+
+
+def crypt_text(password: str, salt: str) -> str:
+    """The hash of a password under a salt, or under a whole hash, whose salt is taken: ``crypt(p, h) == h`` for the right one. 72 bytes count."""
+    m = re.match(r"\$2([aby])\$(\d\d)\$([./A-Za-z0-9]{22})", salt)
+    if not m or not 4 <= int(m[2]) <= 31:
+        raise ValueError("invalid salt")
+    raw = _from64(m[3], 16)
+    data = (password.encode() + b"\0")[:72]
+    key, own = _words32((data * (72 // len(data) + 1))[:72]), _words32(raw)
+    cipher = _Blowfish()
+    cipher.expand(key, own)
+    for _ in range(1 << int(m[2])):
+        cipher.expand(key, [0, 0])
+        cipher.expand(own, [0, 0])
+    text = _words32(_TEXT)
+    for i in range(0, 6, 2):
+        for _ in range(64):
+            text[i], text[i + 1] = cipher.encrypt(text[i], text[i + 1])
+    return f"$2{m[1]}${m[2]}${_to64(raw)}{_to64(struct.pack('>6I', *text)[:23])}"
+
+
+@F.pandas_udf(T.StringType())
+def crypt(password: pd.Series, salt: pd.Series) -> pd.Series:
+    """``crypt(password, salt)``; null if either is."""
+    return pd.Series([None if p is None or s is None else crypt_text(p, s) for p, s in zip(password, salt, strict=True)], dtype=object)

@@ -78,18 +78,27 @@ def trigram_distance(a: Column, b: Column) -> Column:
 def similar_pairs(left, right, on_left: str, on_right: str, threshold: float = 0.3):
     """Pairs of rows whose columns are similar, blocked by shared trigrams of which similar texts have one among their rarest.
 
-    Of a text's trigrams in a fixed order, the first ``n - ceil(threshold * n) + 1`` must hold one of any
-    similar text's; only rows that share such a trigram are compared, so no cross join is made.
+    Trigrams are ordered by how many texts have them, rare ones first. Two similar texts of m and n trigrams
+    share at least ``threshold / (1 + threshold) * (m + n)``, and so one of the first ``n - ceil(threshold * n) + 1``
+    of either. Rows that share one are compared if their numbers of trigrams and what can still follow allow it; no cross
+    join is made, and each pair is met at the first trigram that it shares only.
     """
-    def prefixed(df, name, key):
-        grams = F.sort_array(F.transform(trigrams(F.col(name)), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
-        n = F.size("__g")
-        rows = df.withColumn(key, F.monotonically_increasing_id()).withColumn("__g", grams)
-        return rows, rows.select(key, F.explode(F.slice("__g", F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1)).alias("t")).where("t is not null")
-
-    a, x = prefixed(left, on_left, "__a")
-    b, y = prefixed(right, on_right, "__b")
-    near = x.join(y, x.t.h == y.t.h).select("__a", "__b").distinct()
+    of = lambda df, name, row: df.withColumn(row, F.monotonically_increasing_id()).withColumn("__g", trigrams(F.col(name)))
+    a, b = of(left, on_left, "__a"), of(right, on_right, "__b")
+    each = a.select(F.explode("__g").alias("g")).unionAll(b.select(F.explode("__g").alias("g")))
+    often = each.groupBy("g").agg(F.count("*").alias("df"))
+
+    def prefixed(rows, row):
+        known = rows.select(row, F.explode("__g").alias("g")).join(often, "g")
+        listed = known.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("g")).withColumn("n", F.size("g"))
+        some = F.slice("g", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold)).cast("int") + 1)
+        return listed.withColumn("p", F.transform(some, lambda x: x["g"])).select(row, "n", "p", F.posexplode("p").alias("at", "t"))
+
+    x, y = prefixed(a, "__a").withColumnsRenamed({"n": "m", "p": "q", "at": "as"}), prefixed(b, "__b")
+    can = F.least(F.col("m") - F.col("as"), F.col("n") - F.col("at")) * (1 + threshold) >= threshold * (F.col("m") + F.col("n")) - 1e-9
+    size = F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9
+    first = F.array_intersect("q", "p")[0] == F.col("t")
+    near = x.join(y, "t").where(size & can & first).select("__a", "__b")
     found = near.join(a.drop("__g"), "__a").join(b.drop("__g"), "__b")
     return found.withColumn("similarity", similarity(F.col(on_left), F.col(on_right))).where(F.col("similarity") >= threshold).drop("__a", "__b")
 

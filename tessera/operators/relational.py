@@ -56,9 +56,14 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
 
 
 def not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
-    """Rows of ``x NOT IN (subquery)``: none if the subquery holds a null, and null never qualifies unless it is empty."""
+    """Rows of ``x NOT IN (subquery)``: none if the subquery holds a null, and null never qualifies unless it is empty.
+
+    Whether there is a null is found once, so that the join is one of equality, of any size on either side.
+    """
     v = values.select(F.col(values.columns[0]).alias("__v"))
-    return df.join(v, (F.col(column) == F.col("__v")) | (F.col(column) == F.col("__v")).isNull(), "left_anti")
+    facts = v.agg(F.count("*").alias("__n"), F.coalesce(F.bool_or(F.col("__v").isNull()), F.lit(False)).alias("__null"))
+    able = df.crossJoin(F.broadcast(facts)).where((F.col("__n") == 0) | (~F.col("__null") & F.col(column).isNotNull())).drop("__n", "__null")  # facts is one row
+    return able.join(v, F.col(column) == F.col("__v"), "left_anti")
 
 
 def in_subquery(df: DataFrame, column: str, values: DataFrame, name: str) -> DataFrame:

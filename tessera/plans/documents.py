@@ -20,11 +20,18 @@ def _path(path: str) -> str:
 
 def field(doc: Column, path: str, kind: str = "variant") -> Column:
     """The value at a dotted path through objects; null if there is none."""
-    return F.try_variant_get(_parsed(doc), _path(path), kind)
+    return _get(_parsed(doc), path, kind)
+
+
+# What follows takes documents that are parsed already.
+
+
+def _get(doc: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(doc, _path(path), kind)
 
 
 def _exists(doc: Column, path: str) -> Column:
-    return field(doc, path).isNotNull()
+    return _get(doc, path).isNotNull()
 
 
 def _json(value: Column) -> Column:
@@ -37,9 +44,9 @@ def _text(value: Any) -> str:
 
 def _equal(doc: Column, path: str, value: Any) -> Column:
     """Equality with the value there, or with an element of an array there."""
-    found = field(doc, path)
+    found = _get(doc, path)
     same = F.coalesce(_same(found, doc, path, value), F.lit(False))
-    items = F.try_variant_get(_parsed(doc), _path(path), "array<variant>")
+    items = F.try_variant_get(doc, _path(path), "array<variant>")
     member = F.coalesce(F.exists(items, lambda x: F.to_json(x) == _text(value)), F.lit(False))
     return same | member
 
@@ -49,11 +56,11 @@ def _same(found: Column, doc: Column, path: str, value: Any) -> Column:
     if value is None:
         return kind == "VOID"
     if isinstance(value, bool):
-        return (kind == "BOOLEAN") & (field(doc, path, "boolean") == value)
+        return (kind == "BOOLEAN") & (_get(doc, path, "boolean") == value)
     if isinstance(value, (int, float)):
-        return _is_number(kind) & (field(doc, path, "double") == float(value))
+        return _is_number(kind) & (_get(doc, path, "double") == float(value))
     if isinstance(value, str):
-        return (kind == "STRING") & (field(doc, path, "string") == value)
+        return (kind == "STRING") & (_get(doc, path, "string") == value)
     return F.to_json(found) == _text(value)
 
 
@@ -63,20 +70,24 @@ def _is_number(kind: Column) -> Column:
 
 def _ordered(doc: Column, path: str, op: str, value: Any) -> Column:
     """Numbers with numbers and texts with texts; anything else is false."""
-    kind = F.schema_of_variant(field(doc, path))
+    kind = F.schema_of_variant(_get(doc, path))
     if isinstance(value, bool) or not isinstance(value, (int, float, str)):
         return F.lit(False)
-    able, x = (kind == "STRING", field(doc, path, "string")) if isinstance(value, str) else (_is_number(kind), field(doc, path, "double"))
+    able, x = (kind == "STRING", _get(doc, path, "string")) if isinstance(value, str) else (_is_number(kind), _get(doc, path, "double"))
     test = {"$gt": x > value, "$gte": x >= value, "$lt": x < value, "$lte": x <= value}[op]
     return F.coalesce(able & test, F.lit(False))
 
 
 def compile_filter(query: dict, doc: Column) -> Column:
-    """A filter document as a column that is never null."""
+    """A filter document as a column that is never null; a row's document is parsed once, however much is asked of it."""
+    return F.coalesce(F.exists(F.array(_parsed(doc)), lambda parsed: _compiled(query, parsed)), F.lit(False))
+
+
+def _compiled(query: dict, doc: Column) -> Column:
     out = F.lit(True)
     for key, value in query.items():
         if key in ("$and", "$or", "$nor"):
-            parts = [compile_filter(q, doc) for q in value]
+            parts = [_compiled(q, doc) for q in value]
             joined = F.lit(key == "$and")
             for p in parts:
                 joined = joined & p if key == "$and" else joined | p
@@ -104,9 +115,9 @@ def _operator(doc: Column, path: str, op: str, value: Any) -> Column:
     if op == "$exists":
         return _exists(doc, path) if value else ~_exists(doc, path)
     if op == "$size":
-        return F.coalesce(F.size(F.try_variant_get(_parsed(doc), _path(path), "array<variant>")) == value, F.lit(False))
+        return F.coalesce(F.size(F.try_variant_get(doc, _path(path), "array<variant>")) == value, F.lit(False))
     if op == "$not":
-        return ~compile_filter({path: value}, doc)
+        return ~_compiled({path: value}, doc)
     raise ValueError(f"unknown operator {op}")
 
 

@@ -78,17 +78,33 @@ def trgm_similarity(spark, d):
     return t(spark, d, "part").select("p_partkey", F.round(similarity.similarity(F.col("p_name"), F.lit("almond part")).cast("double"), 5).alias("sim"))
 
 
-@query(_TRGM.format(key="s_suppkey", col="s_name", table="supplier") + " SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.k < b.k WHERE len(list_intersect(a.t, b.t)) >= 0.85 * len(list_distinct(list_concat(a.t, b.t)))")
+@query(_TRGM.format(key="s_suppkey", col="s_name", table="supplier") + " SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.k < b.k WHERE len(list_intersect(a.t, b.t)) >= 0.8 * len(list_distinct(list_concat(a.t, b.t)))")
 def trgm_similar_pairs(spark, d):
     s = t(spark, d, "supplier")
-    found = similarity.similar_pairs(s.selectExpr("s_suppkey AS a", "s_name AS x"), s.selectExpr("s_suppkey AS b", "s_name AS y"), "x", "y", 0.85)
+    found = similarity.similar_pairs(s.selectExpr("s_suppkey AS a", "s_name AS x"), s.selectExpr("s_suppkey AS b", "s_name AS y"), "x", "y", 0.8)
     return found.where("a < b").select("a", "b")
 
 
-@query()
+_GRAMS = "list_transform(range(1, length({w}) + 2), lambda i: substring('  ' || {w} || ' ', i, 3))"
+_SIM = "CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b})))"
+
+
+@query(f"""
+    WITH q AS (SELECT {_GRAMS.format(w="'ring'")} AS q),
+    w AS (SELECT p_partkey, list_transform(string_split(lower(p_name), ' '), lambda w: {_GRAMS.format(w="w")}) AS ws FROM part),
+    g AS (SELECT p_partkey, ws, flatten(ws) AS gs FROM w),
+    ends AS (SELECT p_partkey, ws, gs, i, unnest(range(i, len(gs) + 1)) AS j FROM (SELECT p_partkey, ws, gs, unnest(range(1, len(gs) + 1)) AS i FROM g)),
+    word AS (SELECT p_partkey, max({_SIM.format(a="list_distinct(gs[i:j])", b="q")}) AS s FROM ends, q GROUP BY 1),
+    runs AS (SELECT p_partkey, ws, i, unnest(range(i, len(ws) + 1)) AS j FROM (SELECT p_partkey, ws, unnest(range(1, len(ws) + 1)) AS i FROM g)),
+    strict AS (SELECT p_partkey, max({_SIM.format(a="list_distinct(flatten(ws[i:j]))", b="q")}) AS s FROM runs, q GROUP BY 1),
+    o AS (SELECT list_distinct(list_concat({_GRAMS.format(w="'hot'")}, {_GRAMS.format(w="'ring'")})) AS o),
+    whole AS (SELECT p_partkey, {_SIM.format(a="list_distinct(gs)", b="o")} AS s FROM g, o)
+    SELECT p_partkey, round(word.s, 5) AS word, round(strict.s, 5) AS strict, whole.s >= 0.3 AS match, strict.s >= 0.5 AS inside, round(1 - whole.s, 5) AS dist
+    FROM word JOIN strict USING (p_partkey) JOIN whole USING (p_partkey)""")
 def trgm_word_similarity(spark, d):
-    name = F.col("p_name")
-    return t(spark, d, "part").select("p_partkey", similarity.word_similarity(F.lit("part"), name).alias("word"), similarity.strict_word_similarity(F.lit("part"), name).alias("strict"), similarity.trigram_match(name, "%", F.lit("part 12")).alias("match"), similarity.trigram_distance(name, F.lit("part 12")).alias("dist"))
+    name, rounded = F.col("p_name"), lambda c: F.round(c.cast("double"), 5)
+    word, strict = similarity.word_similarity(F.lit("ring"), name), similarity.strict_word_similarity(F.lit("ring"), name)
+    return t(spark, d, "part").select("p_partkey", rounded(word).alias("word"), rounded(strict).alias("strict"), similarity.trigram_match(name, "%", F.lit("hot ring")).alias("match"), similarity.trigram_match(F.lit("ring"), "<<%", name).alias("inside"), rounded(similarity.trigram_distance(name, F.lit("hot ring"))).alias("dist"))
 
 
 @query("SELECT c_custkey, levenshtein(c_name, 'Customer#000000042') AS d, least(levenshtein(c_name, 'Customer#000000042'), 3) AS capped FROM customer")
@@ -97,15 +113,29 @@ def lev_distance(spark, d):
     return t(spark, d, "customer").select("c_custkey", F.levenshtein(n, other).cast("long").alias("d"), similarity.levenshtein_less_equal(n, other, 2).cast("long").alias("capped"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE r(k, s, i, costs) AS (
+        SELECT p_partkey, p_name, 0, list_transform(range(0, 9), lambda j: j * 2) FROM part
+        UNION ALL
+        SELECT k, s, i + 1, list_reduce(list_prepend([CAST((i + 1) * 3 AS BIGINT)], list_transform(range(1, 9), lambda j: [j])), lambda done, j: list_append(done, least(costs[j[1] + 1] + 3, done[len(done)] + 2, costs[j[1]] + CASE WHEN s[i + 1] <> ('old ring')[j[1]] THEN 4 ELSE 0 END)))
+        FROM r WHERE i < length(s)
+    )
+    SELECT k AS p_partkey, CAST(costs[9] AS INTEGER) AS cost FROM r WHERE i = length(s)""")
 def lev_weighted(spark, d):
-    return t(spark, d, "nation").select("n_nationkey", similarity.weighted_levenshtein(2, 3, 4)(F.col("n_name"), F.lit("NATION")).alias("cost"))
+    return t(spark, d, "part").select("p_partkey", similarity.weighted_levenshtein(2, 3, 4)(F.col("p_name"), F.lit("old ring")).alias("cost"))
+
 
+_CODE = "translate(replace(replace(upper(regexp_replace({x}, '[^A-Za-z]', '', 'g')), 'H', ''), 'W', ''), 'AEIOUYBFPVCGJKQSXZDTLMNR', '000000111122222222334556')"
+_RUNS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '0+', '0', 'g'), '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g')"
 
-@query()
+
+@query(f"""
+    WITH n AS (SELECT p_partkey, upper(p_name[1]) AS f, {_RUNS.format(x=_CODE.format(x="p_name"))} AS c, p_name FROM part),
+    s AS (SELECT p_partkey, left(f || replace(CASE WHEN f IN ('H', 'W') THEN c ELSE c[2:] END, '0', '') || '000', 4) AS code FROM n)
+    SELECT p_partkey, code, CAST((code[1] = 'R')::INT + (code[2] = '3')::INT + (code[3] = '3')::INT + (code[4] = '6')::INT AS INTEGER) AS same FROM s""")
 def soundex_difference(spark, d):
-    n = F.col("n_name")
-    return t(spark, d, "nation").select("n_nationkey", similarity.soundex(n).alias("code"), similarity.difference(n, F.lit("NATION")).alias("same"))
+    n = F.col("p_name")
+    return t(spark, d, "part").select("p_partkey", similarity.soundex(n).alias("code"), similarity.difference(n, F.lit("rated rod")).alias("same"))
 
 
 # Vectors. X10-X11 V6 E4-E6
@@ -211,26 +241,58 @@ def crypto_digests(spark, d):
     return t(spark, d, "nation").select("n_nationkey", crypto.encode(crypto.digest(n, "md5"), "hex").alias("m"), crypto.encode(crypto.digest(n, "sha256"), "hex").alias("s"), crypto.encode(F.encode(n, "UTF-8"), "hex").alias("h"), crypto.encode(F.encode(n, "UTF-8"), "base64").alias("b"))
 
 
-@query()
+_UUID = "h[1:8] || '-' || h[9:12] || '-{v}' || h[14:16] || '-' || translate(h[17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32]"
+
+
+@query(f"""
+    WITH m AS (SELECT n_nationkey, sha256(unhex('373925' || repeat('5c', 61)) || unhex(sha256(unhex('5d534f' || repeat('36', 61)) || encode(n_name)))) AS mac FROM nation),
+    v5 AS (SELECT n_nationkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(n_name)) AS h FROM nation),
+    v3 AS (SELECT n_nationkey, md5(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(n_name)) AS h FROM nation)
+    SELECT n_nationkey, mac, v5.u AS v5, v3.u AS v3 FROM m JOIN (SELECT n_nationkey, {_UUID.format(v=5)} AS u FROM v5) v5 USING (n_nationkey) JOIN (SELECT n_nationkey, {_UUID.format(v=3)} AS u FROM v3) v3 USING (n_nationkey)""")
 def crypto_hmac_uuid(spark, d):
     n = F.col("n_name")
     return t(spark, d, "nation").select("n_nationkey", F.lower(F.hex(crypto.hmac(b"key", "sha256")(n))).alias("mac"), crypto.uuid_v5(crypto.NAMESPACES["dns"], n).alias("v5"), crypto.uuid_v3(crypto.NAMESPACES["url"], n).alias("v3"))
 
 
-@query()
+@query("SELECT n_nationkey, '$2a$05$CCCCCCCCCCCCCCCCCCCCC.E5YPO9kmyuRGyh0XouQYb4YMJKvyOeW' AS known, n_regionkey = 1 AS opens FROM nation")
+def crypto_passwords(spark, d):
+    """A published hash, and hashes under new salts that open with the right password only."""
+    n = t(spark, d, "nation").withColumn("h", crypto.crypt(F.lit("pass1"), F.lit(crypto.gen_salt("bf", 4))))
+    return n.select("n_nationkey", crypto.crypt(F.lit("U*U"), F.lit("$2a$05$CCCCCCCCCCCCCCCCCCCCC.")).alias("known"), (crypto.crypt(F.concat(F.lit("pass"), F.col("n_regionkey").cast("string")), F.col("h")) == F.col("h")).alias("opens"))
+
+
+@query("SELECT n_nationkey, replace(replace(strip_accents('Ærø çà Señor ' || n_name), 'Æ', 'AE'), 'ø', 'o') AS plain FROM nation")
 def text_unaccent(spark, d):
-    docs = t(spark, d, "nation").select("n_nationkey", F.concat(F.lit("Ærø çà "), "n_name").alias("x"))
+    docs = t(spark, d, "nation").select("n_nationkey", F.concat(F.lit("Ærø çà Señor "), "n_name").alias("x"))
     return docs.select("n_nationkey", crypto.unaccent("x").alias("plain"))
 
 
 # Full text. T1-T11
 
+# Stems of the words of part names that aren't their own.
+_STEM = "CASE w WHEN 'large' THEN 'larg' WHEN 'running' THEN 'run' WHEN 'plates' THEN 'plate' ELSE w END"
+_TEXT = "'The running ' || p_name || ' of the plates, ' || p_name"
+_WORDS = f"SELECT p_partkey, unnest(string_split(replace(lower({_TEXT}), ',', ''), ' ')) AS w, generate_subscripts(string_split({_TEXT}, ' '), 1) AS i FROM part"
+_LEXEMES = f"SELECT p_partkey, {_STEM} AS l, list(i ORDER BY i) AS spots FROM ({_WORDS}) WHERE w NOT IN ('the', 'of') GROUP BY 1, 2"
+_QUOTE = "chr(39)"
+
+
+def _texts(spark, d):
+    return t(spark, d, "part").select("p_partkey", "p_name", F.concat(F.lit("The running "), "p_name", F.lit(" of the plates, "), "p_name").alias("text"))
 
-@query()
+
+@query(f"SELECT p_partkey, string_agg({_QUOTE} || l || {_QUOTE} || ':' || array_to_string(spots, ','), ' ' ORDER BY l) AS tv FROM ({_LEXEMES}) GROUP BY 1")
+def fts_vector(spark, d):
+    """Stop words leave gaps in the positions, lexemes are stems."""
+    return _texts(spark, d).select("p_partkey", fts.format_tsvector(fts.to_tsvector("english")("text")).alias("tv"))
+
+
+@query(f"""
+    WITH l AS ({_LEXEMES}), r AS (SELECT p_partkey, count(*) AS n, sum(CASE WHEN l IN ('ring', 'small', 'gear') THEN list_sum(list_transform(range(1, len(spots) + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.644934::DOUBLE ELSE 0 END) / 3 AS rank, bool_or(l IN ('ring', 'small')) AND NOT bool_or(l = 'gear') AS hit FROM l GROUP BY 1)
+    SELECT p_partkey, round(rank, 6) AS rank, CAST(n AS INTEGER) AS n FROM r WHERE hit""")
 def fts_rank(spark, d):
-    words = fts.to_tsvector("english")(F.col("p_name"))
-    q = fts.to_tsquery("(part | red) & !green", "english")
-    return t(spark, d, "part").select("p_partkey", words.alias("tv")).where(fts.matches(F.col("tv"), q)).select("p_partkey", fts.ts_rank(F.col("tv"), q).alias("rank"), fts.length(F.col("tv")).alias("n"))
+    words, q = fts.to_tsvector("english")(F.col("text")), fts.to_tsquery("(rings | small) & !gears", "english")
+    return _texts(spark, d).select("p_partkey", words.alias("tv")).where(fts.matches(F.col("tv"), q)).select("p_partkey", F.round(fts.ts_rank(F.col("tv"), q).cast("double"), 6).alias("rank"), fts.length(F.col("tv")).alias("n"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
@@ -239,15 +301,49 @@ def fts_match_simple(spark, d):
     return t(spark, d, "customer").where(fts.matches(tv, fts.to_tsquery("building | machinery", "simple"))).select("c_custkey")
 
 
-@query()
+@query("SELECT p_partkey FROM part WHERE p_name = 'red ring'")
+def fts_plain_query(spark, d):
+    """All words of a text, stop words aside."""
+    return _texts(spark, d).where(fts.matches(fts.to_tsvector()(F.col("text")), fts.plainto_tsquery("the red rings"))).select("p_partkey")
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN w IN ('red', 'ring') THEN '<b>' || w || '</b>' ELSE w END), ' ') AS headline FROM part")
 def fts_headline(spark, d):
-    q = fts.plainto_tsquery("part")
+    q = fts.plainto_tsquery("red rings")
     return t(spark, d, "part").select("p_partkey", fts.ts_headline(q)(F.col("p_name")).alias("headline"))
 
 
-@query()
+@query(f"SELECT p_partkey, string_agg({_QUOTE} || l || {_QUOTE}, ' ' ORDER BY l) AS words, CAST(count(*) AS INTEGER) AS n, 7 AS nodes FROM ({_LEXEMES}) GROUP BY 1")
+def fts_strip(spark, d):
+    tv = fts.to_tsvector()(F.col("text"))
+    return _texts(spark, d).select("p_partkey", fts.format_tsvector(fts.strip(tv)).alias("words"), fts.length(tv).alias("n"), F.lit(fts.numnode(fts.to_tsquery("(rings | red) & !the & gear | bolt"))).alias("nodes"))
+
+
+@query(f"""
+    WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part),
+    l AS (
+        SELECT p_partkey, CASE ws[1] WHEN 'large' THEN 'larg' ELSE ws[1] END AS l, 1 AS spot FROM w WHERE ws <> ['small', 'bolt'] UNION ALL SELECT p_partkey, ws[2], 2 FROM w WHERE ws <> ['small', 'bolt']
+        UNION ALL SELECT p_partkey, 'fasten', 2 FROM w WHERE ws = ['small', 'bolt'] UNION ALL SELECT p_partkey, x, 1 FROM w, (VALUES ('crimson'), ('scarlet')) v(x) WHERE ws[1] = 'red'
+    )
+    SELECT p_partkey, string_agg({_QUOTE} || l || {_QUOTE} || ':' || spot, ' ' ORDER BY l) AS tv FROM l GROUP BY 1""")
+def fts_dictionaries(spark, d):
+    """A phrase becomes its canonical word, a word gets company."""
+    to = fts.to_tsvector("english", fts.parse_dictionary("red:crimson scarlet"), fts.parse_dictionary("bolt small:fasten;never seen:never"))
+    return t(spark, d, "part").select("p_partkey", fts.format_tsvector(to("p_name")).alias("tv"))
+
+
+@query(f"SELECT p_partkey, {_QUOTE} || least('large', p_name[7:]) || {_QUOTE} || ' ' || {_QUOTE} || greatest('large', p_name[7:]) || {_QUOTE} AS tv FROM part WHERE p_name LIKE 'large %' AND p_name NOT LIKE '%gear'")
+def fts_raw_casts(spark, d):
+    """Words as written: no stems, no stop words."""
+    parts = t(spark, d, "part").withColumn("tv", fts.raw_tsvector()("p_name"))
+    return parts.where(fts.matches(F.col("tv"), fts.raw_tsquery("large & !gear"))).select("p_partkey", fts.format_tsvector(F.col("tv")).alias("tv"))
+
+
+@query("""
+    SELECT p_partkey, c.code FROM part JOIN (VALUES ('small', 'SML'), ('hot', 'HT'), ('widget', 'WJT'), ('plate', 'PLT'), ('gear', 'JR'), ('red', 'RT'), ('blue', 'BL'), ('bolt', 'BLT'), ('large', 'LRJ'), ('rod', 'RT'), ('ring', 'RNK'), ('gizmo', 'JSM'), ('old', 'OLT'), ('cold', 'KLT'), ('anvil', 'ANFL'), ('new', 'N')) c(word, code)
+    ON word = p_name[strpos(p_name, ' ') + 1:]""")
 def metaphone_codes(spark, d):
-    return t(spark, d, "part").select("p_partkey", metaphone_column(10)(F.col("p_name")).alias("code"))
+    return t(spark, d, "part").select("p_partkey", metaphone_column(10)(F.substring_index("p_name", " ", -1)).alias("code"))
 
 
 @query("SELECT n_nationkey, lower(n_name) = 'nation_3' AS same, CAST(CASE WHEN lower(n_name) < 'nation_3' THEN -1 WHEN lower(n_name) > 'nation_3' THEN 1 ELSE 0 END AS INTEGER) AS cmp FROM nation")

@@ -58,10 +58,15 @@ def _measure(stem: str) -> int:
     return len(re.findall("v+c+", _shape(stem)))
 
 
-def _ends_cvc(stem: str) -> bool:
-    return _shape(stem)[-3:] == "cvc" and stem[-1] not in "wxy"
+def _short(stem: str) -> bool:
+    """Whether a stem ends in a short syllable: consonant, vowel, consonant, or is a vowel and a consonant."""
+    shape = _shape(stem)
+    return shape == "vc" or (shape[-3:] == "cvc" and stem[-1] not in "wxy")
 
 
+# Words with stems of their own, and words that are their stems.
+_IRREGULAR = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+_INVARIANT = ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")
 # Suffixes of the second, third and fourth step of Porter's algorithm.
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
@@ -73,12 +78,16 @@ def _longest(word: str, suffixes) -> str | None:
 
 
 def porter(word: str) -> str:
-    """Porter's stem of a lower-case English word (Porter, An algorithm for suffix stripping)."""
-    if len(word) <= 2 or not word.isascii() or not word.isalpha():
+    """The stem of a lower-case English word by Porter's algorithm (Porter, An algorithm for suffix stripping), with his later exceptions."""
+    if word in _INVARIANT or len(word) <= 2 or not word.isascii() or not word.isalpha():
         return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if word in _IRREGULAR:
+        return _IRREGULAR[word]
+    if word.endswith("sses"):
         word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
+    elif word.endswith(("ies", "ied")):
+        word = word[:-1] if len(word) == 4 else word[:-2]
+    elif word.endswith("s") and not word.endswith("ss") and "v" in _shape(word[:-2]):
         word = word[:-1]
     if word.endswith("eed"):
         word = word[:-1] if _measure(word[:-3]) else word
@@ -88,16 +97,16 @@ def porter(word: str) -> str:
             word += "e"
         elif len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c" and word[-1] not in "lsz":
             word = word[:-1]
-        elif _measure(word) == 1 and _ends_cvc(word):
+        elif _measure(word) == 1 and _short(word):
             word += "e"
-    if word.endswith("y") and "v" in _shape(word[:-1]):
+    if word.endswith("y") and len(word) > 2 and _shape(word)[-2] == "c":
         word = word[:-1] + "i"
     for table in (_STEP2, _STEP3):
         if (end := _longest(word, table)) and _measure(word[: -len(end)]):
             word = word[: -len(end)] + table[end]
     if (end := _longest(word, _STEP4)) and _measure(word[: -len(end)]) > 1 and (end != "ion" or word[: -len(end)].endswith(("s", "t"))):
         word = word[: -len(end)]
-    if word.endswith("e") and (_measure(word[:-1]) > 1 or (_measure(word[:-1]) == 1 and not _ends_cvc(word[:-1]))):
+    if word.endswith("e") and (_measure(word[:-1]) > 1 or (_measure(word[:-1]) == 1 and not _short(word[:-1]))):
         word = word[:-1]
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
@@ -110,28 +119,76 @@ def lexeme(token: str, config: str = "english") -> str | None:
     return None if token in STOP_WORDS else porter(token)
 
 
-def vector(text: str, config: str = "english", synonyms: dict[str, str] | None = None) -> list[tuple[str, list[int]]]:
-    """Sorted lexemes with their positions; stop words leave gaps."""
+def vector(text: str, config: str = "english", synonyms: dict[str, list[str]] | None = None, thesaurus: dict[str, list[str]] | None = None) -> list[tuple[str, list[int]]]:
+    """Sorted lexemes with their positions; stop words leave gaps. Dictionaries come after: phrases first, then words."""
     found: dict[str, list[int]] = {}
     for token, at in tokens(text):
-        token = (synonyms or {}).get(token.lower(), token)
         if (word := lexeme(token, config)) is not None:
-            places = found.setdefault(word, [])
-            if at not in places and len(places) < MOST_POSITIONS:
-                places.append(at)
-    return sorted(found.items())
+            _place(found, word, [at])
+    if thesaurus:
+        found = _rephrased(sorted(found.items()), thesaurus)
+    for word, places in list(found.items()):
+        for other in (synonyms or {}).get(word, ()):
+            if (new := lexeme(other, config)) is not None:
+                _place(found, new, places)
+    return sorted((w, sorted(p)) for w, p in found.items())
+
+
+def _place(found: dict[str, list[int]], word: str, at: list[int]) -> None:
+    places = found.setdefault(word, [])
+    places += [p for p in at if p not in places][: MOST_POSITIONS - len(places)]
+
+
+def _rephrased(lexemes: list[tuple[str, list[int]]], thesaurus: dict[str, list[str]]) -> dict[str, list[int]]:
+    """Runs of neighbours in the alphabet that make up a phrase become its canonical words, at the first one's first position."""
+    words, longest = [w for w, _ in lexemes], max(len(p.split()) for p in thesaurus)
+    out: dict[str, list[int]] = {}
+    i = 0
+    while i < len(words):
+        n = next((n for n in range(min(longest, len(words) - i), 0, -1) if " ".join(words[i : i + n]) in thesaurus), 0)
+        for word in thesaurus[" ".join(words[i : i + n])] if n else [words[i]]:
+            _place(out, word, lexemes[i][1][:1] or [1] if n else lexemes[i][1])
+        i += n or 1
+    return out
+
+
+def parse_dictionary(text: str) -> dict[str, list[str]]:
+    """A synonym or thesaurus dictionary as written: ``phrase:word other;...``."""
+    pairs = (p.split(":", 1) for p in text.split(";") if ":" in p)
+    return {k.strip().lower(): v.split() for k, v in pairs}
 
 
-def to_tsvector(config: str = "english", synonyms: dict[str, str] | None = None):
+def to_tsvector(config: str = "english", synonyms: dict[str, list[str]] | None = None, thesaurus: dict[str, list[str]] | None = None):
     """A function from a text column to its vector."""
 
     @F.pandas_udf(TSVECTOR)
     def convert(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else [{"word": w, "positions": p} for w, p in vector(t, config, synonyms)])
+        return text.map(lambda t: None if t is None else [{"word": w, "positions": p} for w, p in vector(t, config, synonyms, thesaurus)])
 
     return convert
 
 
+def raw_tsvector():
+    """A function from a text to ``text::tsvector``: lexemes as written, with positions if they are given."""
+
+    @F.pandas_udf(TSVECTOR)
+    def convert(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else [{"word": w, "positions": p} for w, p in parse_tsvector(t)])
+
+    return convert
+
+
+def raw_tsquery(text: str) -> Query | None:
+    """``text::tsquery``: operands as written."""
+    return to_tsquery(text, normalise=False)
+
+
+def format_tsvector(tsvector: Column) -> Column:
+    """A vector in text form: ``'word':1,3 'other':2``."""
+    places = lambda x: F.when(F.size(x["positions"]) > 0, F.concat(F.lit(":"), F.array_join(x["positions"].cast("array<string>"), ","))).otherwise("")
+    return F.array_join(F.transform(tsvector, lambda x: F.concat(F.lit("'"), F.replace(x["word"], F.lit("'"), F.lit("''")), F.lit("'"), places(x))), " ")
+
+
 @dataclass(frozen=True)
 class Query:
     """A lexeme, or ``!``, ``&`` or ``|`` of queries; None stands for one of stop words only."""

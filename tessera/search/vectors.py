@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import DISTANCES
 
 
+#: Rows of a block, and the fewest for which a table is split among cores.
+BLOCK_ROWS, LEAST_ROWS = 65_536, 2048
+
+
 def nearest(df: DataFrame, vector: str, query: list[float], k: int, op: str = "<->", where: Column | None = None, id_col: str | None = None) -> DataFrame:
     """The ``k`` rows nearest to a vector, with ``dist``; filters come first, rows without a vector last, ties by id."""
     rows = df if where is None else df.where(where)
@@ -26,14 +30,19 @@ def nearest(df: DataFrame, vector: str, query: list[float], k: int, op: str = "<
 def nearest_of_each(queries: DataFrame, df: DataFrame, k: int, op: str = "<->", query_id: str = "query_id", query_vector: str = "query", id_col: str = "id", vector: str = "embedding", block: int = 1024) -> DataFrame:
     """``(query_id, id, dist, rank)``: the ``k`` nearest rows to every query, exactly.
 
-    Queries travel in blocks to every partition of the rows, which scores them by matrix products and keeps
-    its own ``k`` best of each; what is shuffled are these, not the pairs. Null vectors take no part.
+    Rows are dealt to blocks and queries to chunks, of about ``BLOCK_ROWS`` and ``block`` each; every chunk meets
+    every block in a task of its own, which scores it by matrix products and keeps the ``k`` best of each query.
+    What is shuffled after are these, not the pairs. Null vectors take no part.
     """
     dealt = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
-    parts = max(1, dealt.rdd.getNumPartitions())
-    dealt = dealt.withColumn("part", F.spark_partition_id())
     asks = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).alias("v"))
-    asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows, cores = dealt.count(), df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-rows // BLOCK_ROWS), min(cores, rows // LEAST_ROWS))
+    chunks = max(1, -(-asks.count() // block))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = dealt.withColumn("block", of(blocks)).withColumn("chunk", every(chunks))
+    asks = asks.withColumn("chunk", of(chunks)).withColumn("block", every(blocks))
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, x = left["id"].to_numpy(), _matrix(left["v"])
@@ -48,7 +57,7 @@ def nearest_of_each(queries: DataFrame, df: DataFrame, k: int, op: str = "<->",
                 out[2].append(row[order])
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": np.concatenate(out[1]) if out[1] else pa.array([], pa.int64()), "dist": np.concatenate(out[2]) if out[2] else pa.array([], pa.float64())})
 
-    found = dealt.groupBy("part").cogroup(asks.groupBy("part")).applyInArrow(score, "query_id long, id long, dist double")
+    found = dealt.groupBy("block", "chunk").cogroup(asks.groupBy("block", "chunk")).applyInArrow(score, "query_id long, id long, dist double")
     w = Window.partitionBy("query_id").orderBy(F.col("dist").asc_nulls_last(), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -69,6 +69,10 @@ def for_each_batch(feed: DataFrame, function: Callable[[DataFrame, int], None],
     return feed.writeStream.foreachBatch(function).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Rules are broadcast up to this many (about 200 bytes each).
+BROADCAST_RULES = 50_000
+
+
 @dataclass(frozen=True)
 class TriggerRule:
     """A task for every event whose address starts with a prefix."""
@@ -81,7 +85,9 @@ class TriggerRule:
 def due_tasks(events: DataFrame, rules: list[TriggerRule], done: DataFrame | None = None, address: str = "address", event: str = "event_id") -> DataFrame:
     """``(claim, rule, task, event_id)``: one task for each rule and event, those claimed before left out."""
     given = events.sparkSession.createDataFrame([(r.name, r.prefix, r.task) for r in rules], "rule string, prefix string, task string")
-    hits = events.join(F.broadcast(given), F.expr(f"startswith({address}, prefix)"))  # as many rows as rules
+    lengths = F.array(*[F.lit(n) for n in sorted({len(r.prefix) for r in rules})])
+    heads = F.transform(F.filter(lengths, lambda n: n <= F.length(address)), lambda n: F.substring(F.col(address), F.lit(1), n))
+    hits = events.withColumn("prefix", F.explode(heads)).join(F.broadcast(given) if len(rules) <= BROADCAST_RULES else given, "prefix")
     claim = F.sha2(F.concat_ws("\x1f", "rule", F.col(event).cast("string")), 256).alias("claim")
     out = hits.select(claim, "rule", "task", F.col(event).alias("event_id")).dropDuplicates(["claim"])
     return out if done is None else out.join(done.select("claim"), "claim", "left_anti")

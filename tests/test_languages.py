@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import documents, graphql, rest
-from tessera.sources import stores
+from tessera.sources import schema, stores
 from tessera.streaming import changes, log
 
 DOCS = [
@@ -142,5 +142,6 @@ def test_files(spark, tmp_path):
         stores.write(df, str(tmp_path / kind), kind, by=("part",), **({"header": "true"} if kind == "csv" else {}))
         assert stores.read(spark, str(tmp_path / kind), kind, **({"header": "true"} if kind == "csv" else {})).count() == 5
     df.createOrReplaceTempView("tessera_ids")
-    assert "tessera_ids" in {r.table_name for r in stores.information_schema_tables(spark).collect()}
-    assert {r.column_name for r in stores.information_schema_columns(spark).where("table_name = 'tessera_ids'").collect()} == {"id", "part"}
+    found = schema.Catalog.of_session(spark)
+    assert "tessera_ids" in {r.table_name for r in found.information_schema(spark, "tables").collect()}
+    assert {r.column_name for r in found.information_schema(spark, "columns").where("table_name = 'tessera_ids'").collect()} == {"id", "part"}
