@@ -52,6 +52,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*done: DataFrame) -> None:
+    """Deletes copies that ``cut`` made and that nothing will read again, and has the shuffle files of steps that are over removed.
+
+    Spark removes these once the driver's collector has seen that nothing refers to them, so it is run here.
+    """
+    for df in done:
+        spark, file = df.sparkSession, df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            remove(spark, file.get())
+        spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of the file system that it is on."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

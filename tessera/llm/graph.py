@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, release
 
 
 #: Few edges stay in few partitions, of so many each, as every round shuffles them several times.
@@ -23,9 +23,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = cut(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     print_now = _print(now)
     parts = max(LEAST_PARTS, print_now[0] // PART_EDGES)
-    now = now.coalesce(parts)
     while print_now[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = now.coalesce(parts)
+        both = few.unionByName(few.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         print_after = _print(after)
         if print_after == print_now:
             break
+        release(now)
         now, print_now = after, print_after
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

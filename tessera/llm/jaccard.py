@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import cut, prepare, whole_row
+from tessera.llm.common import cut, prepare, release, whole_row
 from tessera.llm.graph import connected_components
 from tessera.llm.shingles import mix, shingle_set
 
@@ -427,7 +427,9 @@ def _verified(asked: DataFrame, members: DataFrame, texts: DataFrame) -> DataFra
     """Links among ``asked(g, sid)`` and ``members(g, sid)``."""
     dealt = _salts(asked)
     blocks = members.join(dealt.select("g", "salt").distinct(), "g").join(texts, "sid")
-    return cut(_open(blocks, dealt.join(texts, "sid")))
+    found = cut(_open(blocks, dealt.join(texts, "sid")))
+    release(dealt)
+    return found
 
 
 def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -477,8 +479,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     common, counts = _common_tokens(every.where("n is null"))
     entries = sets.agg(F.sum(F.col("n") * 0.375 + 2)).first()[0] or 0
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries // 2_000_000))
-    postings = cut(_postings(light, common, counts, buckets))
-    postings = _able(postings, sets)
+    dealt = cut(_postings(light, common, counts, buckets))
+    postings = _able(dealt, sets)
+    release(dealt)
     texts = _pick(light, cut(sets.join(postings.select("sid").distinct(), "sid").select("one.*", "sid")), buckets // 4)
     comps = None
     for turn in range(LEADER_ROUNDS):
@@ -487,18 +490,23 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         comps = _joined(comps, found)
     now = _with_components(postings, comps)
     mixed = now.groupBy("base").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("base")
-    now = _able(now.join(mixed, "base"), sets).join(sets.select("sid", "n"), "sid").select("base", "comp", "sid", "n")
+    joined = _able(now.join(mixed, "base"), sets)
+    release(postings)
+    now = joined.join(sets.select("sid", "n"), "sid").select("base", "comp", "sid", "n")
     for _ in range(PARTNER_ROUNDS):  # who goes takes partners from others
         now = _partners(now, sets)
+    release(joined)
     members = now.select("comp", "sid", "n").distinct().withColumn("band", _band_of("n").cast("int"))
     count = members.groupBy("comp", "band").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     members = members.join(count, ["comp", "band"]).join(members.groupBy("comp").agg(F.count("*").alias("size")), "comp")
     members = cut(members.join(now.groupBy("sid").agg(F.first("must").alias("must")), "sid").select("sid", "band", "size", "must", F.xxhash64("comp", "band", F.pmod(F.xxhash64("sid"), F.col("groups"))).alias("g")))
     least_of = members.groupBy("g").agg(F.min("must").alias("least"))
     short = _shortened(now).join(members.select("sid", "g", "size", "band"), "sid")
-    asked = _asked_groups(short, _matrix(short)).join(members.select("sid", "must"), "sid").join(least_of, "g")
+    matrix = _matrix(short)
+    asked = _asked_groups(short, matrix).join(members.select("sid", "must"), "sid").join(least_of, "g")
     asked = asked.where(F.col("shared") >= _few(F.least("must", "least")))
     asked = cut(asked.select("g", "sid"))
+    release(matrix, now)
     comps = _joined(comps, _verified(asked, members.select("g", "sid"), texts)).withColumnRenamed("node", "sid")
     joined = sets.join(comps, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -507,9 +515,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components with more links."""
+    """Components with more links, which aren't needed after."""
     known = links if comps is None else links.unionByName(comps.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-    return cut(connected_components(known))
+    found = cut(connected_components(known))
+    release(links)
+    return found
 
 
 def _with_components(postings: DataFrame, comps: DataFrame | None) -> DataFrame:

@@ -21,8 +21,8 @@ SEQUENCE = 2048
 OPEN_WINDOWS = 1024
 #: Bytes of an id.
 WIDTH = 4
-#: Pretokens whose ids a worker keeps (about 70 MB); those that are met again, first come first kept.
-CACHED_PRETOKENS = 300_000
+#: Pretokens whose ids a worker keeps (about 45 MB); those that are met again, first come first kept.
+CACHED_PRETOKENS = 200_000
 
 # Pretokens of the vocabulary's own pattern, for lower-case text of ASCII and Latin-1 characters only.
 _PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿªµº]+|[0-9²³¹¼½¾]|[^\\sa-zß-öø-ÿªµº0-9²³¹¼½¾]+")
