@@ -116,7 +116,7 @@ class VectorIndex:
             raise ValueError(f"column cannot have more than {MOST_DIMENSIONS} dimensions for hnsw index")
         share = min(1.0, 1.2 * SAMPLE_ROWS / max(1, count))
         some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("id").limit(SAMPLE_ROWS).select("v").collect()
-        sample = np.array([r.v for r in some], np.float64).reshape(len(some), -1)
+        sample = np.array([r.v for r in some], np.float64).reshape(len(some), first[0] if first else 0)
         sample = _unit(sample) if self.definition.operator == "<=>" else sample
         cells = max(1, min(MOST_CELLS, int(count**0.5)))
         centres = centres_of(sample, cells, 4 + self.definition.ef_construction // 16) if len(sample) else np.empty((0, 0))
