@@ -98,7 +98,7 @@ class Templates:
             mine = {t: n * self.idf[t] for t, n in counts.items() if t in self.idf}
             square = sum(sorted(x * x for x in mine.values()))
             asked = {i for t in mine for i in self.of.get(t, ())}
-            dot, name = max((sum(sorted(mine[t] * x for t, x in self.vectors[i][1].items() if t in mine)), self.vectors[i][0]) for i in asked)
+            dot, name = max((round(sum(sorted(mine[t] * x for t, x in self.vectors[i][1].items() if t in mine)), 9), self.vectors[i][0]) for i in asked)
             others = [(t.decode(), n) for t, n in sorted(counts.items()) if t not in self.idf]
             if dot >= (LEAST_COSINE - _SLACK) * (square + sum(n * n for _, n in others)) ** 0.5:
                 key = (dot, name, square, tuple(others))
@@ -138,7 +138,8 @@ def scan_statements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sentence and line of every text is compared with every template; what can't reach ``LEAST_COSINE`` by bounds on
     the vectors goes early, whatever its terms are and however common. Only template terms' weights are sent to
     tasks; those of the other terms of what is left are joined, the most common ones by broadcast.
-    Of equal statements the name last in the alphabet counts. Rows are told apart whatever their ids.
+    Cosines are rounded to nine decimals; of equal ones the name last in the alphabet counts. Rows are told apart
+    whatever their ids.
     """
     prepare(docs.sparkSession)
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
@@ -168,7 +169,7 @@ def scan_statements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = met.where("df is not null").unionByName(met.where("df is null").drop("df").join(held, "term", "left"))
     idf_of = F.log(F.lit(1.0 + count) / (1 + F.coalesce("df", F.lit(1)))) + 1
     more = met.groupBy("key", "at").agg(F.sum(F.pow(F.col("n") * idf_of, F.lit(2))).alias("more"))
-    scored = said.join(more, ["key", "at"], "left").withColumn("cosine", F.col("s.dot") / F.sqrt(F.col("s.square") + F.coalesce("more", F.lit(0.0)))).where(F.col("cosine") >= LEAST_COSINE - _SLACK)
+    scored = said.join(more, ["key", "at"], "left").withColumn("cosine", F.round(F.col("s.dot") / F.sqrt(F.col("s.square") + F.coalesce("more", F.lit(0.0))), 9)).where(F.col("cosine") >= LEAST_COSINE)
     found = scored.groupBy("key").agg(F.max(F.struct("cosine", "s.license")).alias("best"), F.sum("s.size").alias("licensed_words"))
     return rows.drop("near").join(found, "key", "left").select("id", "path", "best.license", "best.cosine", "words", F.coalesce("licensed_words", F.lit(0)).alias("licensed_words"))
 

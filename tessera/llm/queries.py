@@ -78,7 +78,43 @@ QUERIES = {
     )
 }
 
+_FOLDED = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = "regexp_extract_all(" + _FOLDED + ", '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+
 ORACLE_SQL = {
+    "op2_license_scan": rf"""
+        WITH d AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS text FROM documents),
+        t(i, name, s) AS (VALUES {_TEMPLATE_ROWS}),
+        tc AS (SELECT i, name, term, count(*) AS n FROM (SELECT i, name, unnest({_TERMS.format(x="s")}) AS term FROM t) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TERMS.format(x="text")})) AS term FROM d) GROUP BY 1),
+        w AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1 + coalesce(df, 0))) + 1 AS idf FROM df FULL JOIN (SELECT DISTINCT term FROM tc) USING (term)),
+        tw AS (SELECT i, name, term, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY i)) AS x FROM tc JOIN w USING (term)),
+        st AS (
+            SELECT doc_id, k, {_TERMS.format(x="s")} AS ts FROM (
+                SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?;])[	
+ ]+', '' || chr(10), 'g'), '[
+]+') AS parts FROM d)
+            )
+        ),
+        sc AS (SELECT doc_id, k, term, count(*) AS n FROM (SELECT doc_id, k, unnest(ts) AS term FROM st) GROUP BY ALL),
+        sv AS (SELECT doc_id, k, term, n, n * idf AS x FROM sc JOIN w USING (term)),
+        size AS (SELECT doc_id, k, sum(n) AS size, sqrt(sum(x * x)) AS len FROM sv GROUP BY ALL),
+        dot AS (SELECT doc_id, k, i, name, round(sum(sv.x * tw.x), 9) AS dot FROM sv JOIN tw USING (term) GROUP BY ALL),
+        best AS (SELECT doc_id, k, max(dot) AS dot, max_by(name, (dot, name)) AS name FROM dot GROUP BY ALL),
+        near AS (SELECT doc_id, size, name, round(dot / len, 9) AS c FROM best JOIN size USING (doc_id, k) WHERE round(dot / len, 9) >= 0.7),
+        own AS (SELECT doc_id, max(c) AS cosine, max_by(name, (c, name)) AS license, sum(size) AS licensed FROM near GROUP BY 1),
+        rows_ AS (SELECT d.doc_id, path, license, cosine, licensed, len({_TERMS.format(x="text")}) AS words, regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) AS folder FROM d LEFT JOIN own USING (doc_id)),
+        above AS (
+            SELECT folder AS from_dir, max(cosine) AS given_cosine, min_by(license, (-cosine, license)) AS given FROM rows_
+            WHERE license IS NOT NULL AND path IS NOT NULL AND (licensed >= 0.5 * words OR regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)(\.(txt|md|rst))?$')) GROUP BY 1
+        ),
+        up AS (
+            SELECT doc_id, max_by(from_dir, length(from_dir)) AS from_dir, max_by(given, length(from_dir)) AS given, max_by(given_cosine, length(from_dir)) AS given_cosine
+            FROM rows_ JOIN above ON folder = from_dir OR starts_with(folder, from_dir || '/') WHERE license IS NULL AND path IS NOT NULL GROUP BY 1
+        )
+        SELECT doc_id, path, coalesce(license, given) AS license, coalesce(cosine, given_cosine) AS cosine, CASE WHEN license IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' END AS origin, from_dir
+        FROM rows_ LEFT JOIN up USING (doc_id)""",
     "op1_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents

@@ -1,13 +1,14 @@
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import jaccard, licenses, packing, shingles, suffixes
+from tessera.llm import jaccard, licenses, mixing, packing, shingles, suffixes
 from tessera.llm.common import WORD
 
 DOCS = "doc_id long, text string, n long, sid string"
@@ -266,7 +267,7 @@ def brute_licenses(rows):
     out = {}
     for i, t in rows:
         said = [(vector(s), len(split(s))) for line in re.split("[\r\n]+", t or "") for s in re.split(r"(?<=[.!?;])\s+", line) if split(s)]
-        best = [(max((sum(x * b.get(w, 0) for w, x in v.items()) / size(v) / size(b), name) for name, b in given), n) for v, n in said]
+        best = [(max((round(sum(x * b.get(w, 0) for w, x in v.items()) / size(v) / size(b), 9), name) for name, b in given), n) for v, n in said]
         near = [(c, name, n) for (c, name), n in best if c >= licenses.LEAST_COSINE]
         out[i] = (max(near)[1], round(max(near)[0], 9), sum(n for *_, n in near)) if near else (None, None, 0)
     return out
@@ -301,26 +302,61 @@ def test_a_long_statement_takes_linear_time(spark):
     assert time.time() - began < 30
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline_against_plain_steps(spark, tmp_path):
     rng = random.Random(1)
     lines = {"en": "the of and that this with from have", "de": "der die und nicht eine mit von auch"}
-    rows = []
-    for i in range(120):
-        lang = rng.choice(list(lines))
-        rows.append((i, " ".join(rng.choice(lines[lang].split()) + str(rng.randrange(50)) for _ in range(60)), lang, f"s{i % 4}", 0))
-    rows += [(200 + i, rows[0][1], "en", "s1", 0) for i in range(5)] + [(300, "12 34", "en", "s1", 0), (301, None, None, None, 0), (302, rows[1][1] + " tail", "en", "s2", 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = []
+    text = lambda lang, n: " ".join(rng.choice(lines[lang].split()) + str(rng.randrange(50)) for _ in range(n))
+    rows = [(i, text(lang := rng.choice(list(lines)), rng.choice([1, 4, 60, 400])), lang, f"s{i % 4}", 0) for i in range(120)]
+    rows += [(200 + i, rows[0][1], "en", "s1", 0) for i in range(5)] + [(300, "12 34", "en", "s1", 0), (301, None, None, None, 0), (302, rows[2][1] + " tail", "en", "s2", 0), (303, "", "en", None, 0), (None, text("en", 50), None, "s9", 0)]
+    rows += [(400 + i, " ".join(w if k != 7 * i else "other" for k, w in enumerate(rows[3][1].split())), "de", "s3", 0) for i in range(9)]
+    given = "doc_id long, text string, lang string, source string, n_chars long"
+    # columns with names that the operators use inside
+    more = ["row", "id", "key", "score", "lang_pred", "size", "draw", "copies", "n", "sid", "text_sha256", "keep", "__id"]
+    schema = given + "".join(f", `{c}` int" for c in more)
+    spark.createDataFrame([(*r, *range(len(more))) for r in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, str(tmp_path))
         docs = spark.createDataFrame(docs.collect(), docs.schema)
-        kept.append(docs.count())
+        kept[name] = docs.collect()
         if name != "packing":
-            assert docs.columns == before.columns
-    assert kept[:3] == [len(rows) - 2, len(rows) - 2 - 5, len(rows) - 2 - 5 - 1]
-    assert kept[3] > 0 and docs.columns[:3] == ["doc_id", "start", "length"]
+            assert docs.columns == before.columns and all(tuple(r)[5:] == tuple(range(len(more))) for r in kept[name])
+        if name == "mixing":
+            copies = {(r.doc_id, r["size"]): r.copies for r in mixing.mix_decisions(before).collect()}
+    ids = lambda found: sorted((r.doc_id is None, r.doc_id) for r in found)
+    said = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    assert ids(kept["language ID"]) == sorted((r[0] is None, r[0]) for r in said)
+    last = {}
+    for r in said:
+        if r[1] not in last or r[0] > last[r[1]][0]:
+            last[r[1]] = r
+    assert ids(kept["exact dedup"]) == sorted((r[0] is None, r[0]) for r in last.values())
+    components = brute_components([r for r in last.values() if r[0] is not None])
+    stay = {c for _, c in components.values()}
+    assert ids(kept["n-gram Jaccard join"]) == sorted([(False, i) for i in stay] + [(True, None)]) and len(stay) < len(components)
+    counts = {}
+    for r in kept["mixing"]:
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+    assert counts == {i: n for (i, _), n in copies.items() if n}
+    tokenizer, covered = packing.pretoken_ids(packing_tokenizer()), {}
+    of = {r.doc_id: r.text for r in kept["mixing"]}
+    for r in kept["packing"]:
+        ids_ = tokenizer.text(of[r.doc_id]) + (1).to_bytes(4, "little")
+        assert r.doc_tokens == len(ids_) // 4 and r.ids_crc32 == zlib.crc32(ids_[4 * r.start : 4 * (r.start + r.length)])
+        for at in range(r.start, r.start + r.length):
+            covered[r.doc_id, at] = covered.get((r.doc_id, at), 0) + 1
+    assert covered == {(i, at): n for i, n in counts.items() for at in range(len(tokenizer.text(of[i])) // 4 + 1)}
     run = corpus_pipeline.run(spark, str(tmp_path))
     total = F.sum("length"), F.count_distinct("doc_id")
-    assert run.agg(*total).first() == docs.agg(*total).first()
-    assert packing.SEQUENCE == 2048
+    assert run.agg(*total).first() == docs.agg(*total).first() and packing.SEQUENCE == 2048
+
+
+def packing_tokenizer():
+    from tessera.llm.queries import TOKENIZER
+
+    return TOKENIZER
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
