@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import context, routines
-from tessera.operators import ddl, dml
+from tessera.operators import ddl, dml, locks
 from tessera.operators.recursive import checkpointed
 from tessera.plans import dialect, documents, rest
 from tessera.queries.languages import _events, _log
@@ -170,9 +170,40 @@ def sink_text_rows(spark, d):
     return stores.text_rows(t(spark, d, "customer").selectExpr("c_custkey", "c_acctbal > 0 AS owes"))
 
 
-@query("SELECT * FROM (VALUES ('', '', '', true, 1)) v(locktype, relation, mode, granted, pid) WHERE false")
+@query("SELECT * FROM (VALUES ('relation', 'nation', 'RowShareLock', true, 1), ('relation', 'nation', 'RowShareLock', true, 2), ('advisory', '7', 'AdvisoryLock', true, 1), ('advisory', '7', 'AdvisoryLock', false, 2)) v(locktype, relation, mode, granted, pid) UNION ALL SELECT 'tuple', 'nation', 'ExclusiveLock', true, CASE WHEN n_regionkey = 1 THEN 1 ELSE 2 END FROM nation WHERE n_regionkey IN (1, 2)")
 def schema_locks(spark, d):
-    return _catalog(spark, d).pg_catalog(spark, "pg_locks")
+    """Two sessions: rows for update, and a key that one holds and the other waits for."""
+    held, _ = _locking(spark, d)
+    held.call(1, "pg_advisory_lock", 7)
+    held.call(2, "pg_advisory_lock", 7)
+    return held.snapshot(spark)
+
+
+@query("SELECT * FROM nation WHERE n_regionkey = 2")
+def select_skip_locked(spark, d):
+    """Rows for update but for those that another session holds."""
+    return _locking(spark, d)[1]
+
+
+def _locking(spark, d):
+    held, n = locks.LockManager(), t(spark, d, "nation")
+    locks.select_for(held, 1, n, "nation", "n_nationkey", F.col("n_regionkey") == 1)
+    return held, locks.select_for(held, 2, n, "nation", "n_nationkey", F.col("n_regionkey").isin(1, 2), skip_locked=True)
+
+
+@query("SELECT true AS mine, false AS others, true AS shared, true AS given_back, false AS again, true AS then_theirs")
+def lock_functions(spark, d):
+    held = locks.LockManager()
+    said = [held.call(1, "pg_try_advisory_lock", 1, 2), held.call(2, "pg_try_advisory_xact_lock", 1, 2), held.call(2, "pg_try_advisory_lock_shared", 9) and held.call(1, "pg_try_advisory_xact_lock_shared", 9)]
+    said += [held.call(1, "pg_advisory_unlock", 1, 2), held.call(1, "pg_advisory_unlock", 1, 2), held.call(2, "pg_try_advisory_lock", 1, 2)]
+    return spark.createDataFrame([tuple(said)], "mine boolean, others boolean, shared boolean, given_back boolean, again boolean, then_theirs boolean")
+
+
+@query("SELECT n_nationkey, upper(reverse(n_name)) AS out FROM nation")
+def task_bytes(spark, d):
+    """A task is any function from bytes to bytes."""
+    run = changes.task(lambda data: data[::-1].upper())
+    return t(spark, d, "nation").select("n_nationkey", F.decode(run(F.encode("n_name", "UTF-8")), "UTF-8").alias("out"))
 
 
 def _catalog(spark, d) -> schema.Catalog:

@@ -124,11 +124,6 @@ def object_listing(objects: DataFrame, prefix: str = "", search: str = "", sort_
     return rows.orderBy(c.desc_nulls_first() if descending else c.asc_nulls_last(), "name").offset(offset).limit(limit)
 
 
-def locks(spark: SparkSession) -> DataFrame:
-    """No locks are held, ever."""
-    return spark.createDataFrame([], "locktype string, relation string, mode string, granted boolean, pid int")
-
-
 def json_rows(df: DataFrame) -> DataFrame:
     """One column ``row`` of JSON objects, nulls kept, as rows go over HTTP."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))

@@ -121,6 +121,16 @@ def fan_out(requests: DataFrame, function: Callable[[bytes], bytes], order: str
     return rows.select(order, payload).mapInPandas(run, f"{order} {requests.schema[order].dataType.simpleString()}, result binary").orderBy(order)
 
 
+def task(function: Callable[[bytes], bytes]) -> Callable[[Column], Column]:
+    """A function from bytes to bytes as a column function; null in, null out."""
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: None if x is None else function(bytes(x)))
+
+    return run
+
+
 def ranked_workers(workers: DataFrame, now: Column, stale_after: float, weights: dict[str, float]) -> DataFrame:
     """Live workers by a weighted score of their capabilities."""
     score = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import context, crypto, routines
-from tessera.operators import relational
+from tessera.operators import locks, relational
 from tessera.plans import dialect, documents
 from tessera.search import index
 from tessera.search import vectors as V
@@ -241,3 +241,29 @@ def test_rules_of_triggers(spark):
     events = spark.createDataFrame([(1, "/a/b"), (2, "/a"), (3, ""), (4, None)], "event_id int, address string")
     rules = [changes.TriggerRule("all", "", "t"), changes.TriggerRule("a", "/a", "t"), changes.TriggerRule("ab", "/a/b", "t")]
     assert {(r.rule, r.event_id) for r in changes.due_tasks(events, rules).collect()} == {("all", 1), ("all", 2), ("all", 3), ("a", 1), ("a", 2), ("ab", 1)}
+
+
+def test_locks(spark):
+    held = locks.LockManager()
+    assert all((b in locks.CONFLICTS[a]) == (a in locks.CONFLICTS[b]) for a in locks.CONFLICTS for b in locks.CONFLICTS)
+    a, b = locks.table("a"), locks.table("b")
+    assert held.acquire(1, a, "RowExclusive") and held.acquire(2, a, "RowExclusive") and held.acquire(2, b, "Share")
+    assert not held.acquire(1, b, "RowExclusive")  # waits for the second session
+    with pytest.raises(locks.Deadlock):
+        held.acquire(2, a, "Share")
+    with pytest.raises(locks.LockNotAvailable):
+        held.acquire(3, b, "Exclusive", nowait=True)
+    assert held.snapshot(spark).where("not granted").count() == 1
+    held.end(2)
+    assert held.acquire(1, b, "RowExclusive") and not held.waits
+    assert held.call(1, "pg_advisory_lock", 5) is None and not held.call(2, "pg_try_advisory_lock", 5)
+    held.end(1)
+    assert not held.call(2, "pg_try_advisory_lock", 5)
+    held.call(1, "pg_advisory_unlock_all")
+    assert held.call(2, "pg_try_advisory_lock", 5)
+    df = spark.range(6)
+    assert locks.select_for(held, 1, df, "t", "id", F.col("id") < 3).count() == 3
+    assert [r.id for r in locks.select_for(held, 2, df, "t", "id", F.col("id") < 5, skip_locked=True).collect()] == [3, 4]
+    with pytest.raises(locks.LockNotAvailable):
+        locks.select_for(held, 3, df, "t", "id", F.col("id") == 4, nowait=True)
+    assert locks.select_for(held, 3, df, "t", "id", F.col("id") > 9).count() == 0
