@@ -136,6 +136,7 @@ def soundex(text: Column) -> Column:
 
 
 def difference(a: Column, b: Column) -> Column:
-    """How many of the four characters of two soundex codes agree."""
+    """How many of the four characters of two soundex codes agree; all if both are empty."""
     x, y = soundex(a), soundex(b)
-    return sum(((F.substring(x, i, 1) == F.substring(y, i, 1)) & (F.substring(x, i, 1) != "")).cast("int") for i in range(1, 5))
+    same = sum(((F.substring(x, i, 1) == F.substring(y, i, 1)) & (F.substring(x, i, 1) != "")).cast("int") for i in range(1, 5))
+    return F.when((x == "") & (y == ""), 4).otherwise(same)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import collections as C
 from tessera.functions import citext, core, crypto, geometry, similarity, trees, vectors
-from tessera.functions.phonetics import metaphone_column
+from tessera.functions.phonetics import dmetaphone_codes, metaphone_column
 from tessera.queries.registry import query, sql_query, t
 from tessera.search import fts
 from tessera.search import vectors as V
@@ -354,6 +354,14 @@ def metaphone_codes(spark, d):
     return t(spark, d, "part").select("p_partkey", metaphone_column(10)(F.substring_index("p_name", " ", -1)).alias("code"))
 
 
+@query("""
+    SELECT p_partkey, c.code, c.alt FROM part JOIN (VALUES ('small', 'SML', 'XML'), ('hot', 'HT', 'HT'), ('red', 'RT', 'RT'), ('blue', 'PL', 'PL'), ('large', 'LRJ', 'LRK'), ('old', 'ALT', 'ALT'), ('cold', 'KLT', 'KLT'), ('new', 'N', 'NF')) c(word, code, alt)
+    ON word = p_name[:strpos(p_name, ' ') - 1]""")
+def double_metaphone_codes(spark, d):
+    both = t(spark, d, "part").select("p_partkey", dmetaphone_codes(F.substring_index("p_name", " ", 1)).alias("c"))
+    return both.select("p_partkey", "c.code", "c.alt")
+
+
 @query("SELECT n_nationkey, lower(n_name) = 'nation_3' AS same, CAST(CASE WHEN lower(n_name) < 'nation_3' THEN -1 WHEN lower(n_name) > 'nation_3' THEN 1 ELSE 0 END AS INTEGER) AS cmp FROM nation")
 def citext_compare(spark, d):
     other = F.lit("Nation_3")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import collections as C
 from tessera.functions import context, core, crypto, geometry, routines, similarity, trees, vectors
-from tessera.functions.phonetics import metaphone
+from tessera.functions.phonetics import dmetaphone, dmetaphone_alt, metaphone
 from tessera.search import fts
 from tessera.search import vectors as V
 from tessera.types import spark_type, to_bool, to_int
@@ -163,6 +163,27 @@ def test_routines(spark):
     assert tuple(spark.sql("SELECT tessera_t1(6, 7), tessera_t1(NULL, 7), tessera_t2(1), tessera_t2(3), tessera_t2(20)").first()) == (42, None, "small", "big", "huge")
 
 
-@pytest.mark.parametrize(("word", "code"), [("Knight", "NT"), ("phone", "FN"), ("wright", "RT"), ("school", "SKL"), ("nation", "NXN"), ("judge", "JJ"), ("", ""), ("Xavier", "SFR"), ("thumb", "0M"), ("white", "HT")])
+@pytest.mark.parametrize(
+    ("word", "code"),
+    [
+        ("GUMBO", "KM"), ("phone", "FN"), ("Thompson", "0MPSN"), ("Thomas", "0MS"), ("school", "SKL"), ("science", "SNS"), ("Knight", "NFT"), ("what", "HT"), ("wright", "RFT"), ("xylophone", "SLFN"),
+        ("aeon", "EN"), ("judge", "JJ"), ("McCartney", "MKKRTN"), ("schwa", "XW"), ("caution", "KXN"), ("Otto", "OT"), ("hugh", "HF"), ("ghost", "FST"), ("Yes", "YS"), ("yield", "YLT"), ("box", "BKS"),
+        ("a1b2c3", "ABK"), ("   ae   ", "E"), ("", ""), ("123 456", ""), ("Christmas", "KRSTMS"), ("nation", "NXN"), ("thumb", "0M"),
+    ],
+)
 def test_metaphone(word, code):
     assert metaphone(word) == code
+
+
+@pytest.mark.parametrize(
+    ("word", "code", "alt"),
+    [
+        ("gumbo", "KMP", "KMP"), ("metaphone", "MTFN", "MTFN"), ("Schmidt", "XMT", "SMT"), ("smith", "SM0", "XMT"), ("Thompson", "TMPS", "TMPS"), ("Xavier", "SF", "SFR"), ("jose", "HS", "HS"),
+        ("filipowicz", "FLPT", "FLPF"), ("Wasserman", "ASRM", "FSRM"), ("breaux", "PR", "PR"), ("zhao", "J", "J"), ("focaccia", "FKX", "FKX"), ("McHugh", "MK", "MK"), ("island", "ALNT", "ALNT"),
+        ("sugar", "XKR", "SKR"), ("cabrillo", "KPRL", "KPR"), ("edge", "AJ", "AJ"), ("edgar", "ATKR", "ATKR"), ("dumb", "TM", "TM"), ("thumb", "0M", "TM"), ("campbell", "KMPL", "KMPL"),
+        ("raspberry", "RSPR", "RSPR"), ("czerny", "SRN", "XRN"), ("Yankelovich", "ANKL", "ANKL"), ("Jankelowicz", "JNKL", "ANKL"), ("", "", ""), ("123", "", ""), ("Church", "XRX", "XRK"), ("Caesar", "SSR", "SSR"),
+        ("Michael", "MKL", "MXL"), ("Pizza", "PS", "PTS"), ("Accident", "AKST", "AKST"), ("Arnow", "ARN", "ARNF"),
+    ],
+)
+def test_double_metaphone(word, code, alt):
+    assert (dmetaphone(word), dmetaphone_alt(word)) == (code, alt)
