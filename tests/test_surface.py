@@ -267,3 +267,9 @@ def test_locks(spark):
     with pytest.raises(locks.LockNotAvailable):
         locks.select_for(held, 3, df, "t", "id", F.col("id") == 4, nowait=True)
     assert locks.select_for(held, 3, df, "t", "id", F.col("id") > 9).count() == 0
+
+
+def test_windows_in_order_by(spark, tables):
+    rows = dialect.query(spark, "SELECT id, n AS m FROM tessera_rows ORDER BY rank() OVER (ORDER BY n) DESC, s, x LIMIT 5")
+    assert rows.columns == ["id", "m"] and [r.id for r in rows.collect()] == [1, 2]
+    assert [r.id for r in dialect.query(spark, "SELECT id FROM tessera_rows ORDER BY (SELECT max(n) FROM tessera_rows), id DESC").collect()] == [2, 1]
