@@ -237,6 +237,15 @@ def schema_constraints(spark, d):
     return kind.join(own, "name").join(to, "name").join(rule, "name", "left")
 
 
+@query("SELECT table_name, count(*) AS columns FROM information_schema.columns WHERE table_name IN ('nation', 'region') GROUP BY 1 ORDER BY 1")
+def schema_by_query(spark, d):
+    """The views by name within a query, beside a table expression, a view and a subquery."""
+    t(spark, d, "nation").createOrReplaceTempView("nation")
+    ddl.create_view(t(spark, d, "region"), "region")
+    text = "WITH mine AS (SELECT 'nation' AS n UNION ALL SELECT 'region') SELECT c.table_name, count(*) AS columns FROM information_schema.columns c, mine, (SELECT relname FROM pg_catalog.pg_class) k WHERE c.table_name = mine.n AND k.relname = mine.n GROUP BY 1 ORDER BY 1"
+    return dialect.query(spark, text)
+
+
 @query("SELECT schema_name FROM (VALUES ('information_schema'), ('pg_catalog'), ('public')) v(schema_name)")
 def schema_schemata(spark, d):
     return _catalog(spark, d).information_schema(spark, "schemata").select("schema_name")

@@ -100,7 +100,7 @@ class Catalog:
     @classmethod
     def of_session(cls, spark: SparkSession, **known: Table) -> Catalog:
         """The tables and temporary views of a session; ``known`` says more of some of them."""
-        names = [t.name for t in spark.catalog.listTables()]
+        names = [t.name for t in spark.catalog.listTables() if not t.name.startswith("__")]
         return cls([known.get(n) or Table(n, spark.table(n).schema) for n in names])
 
     def _oid(self, table: str) -> int:
