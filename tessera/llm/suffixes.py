@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, prepare
+from tessera.llm.common import cut, prepare, release
 from tessera.llm.shingles import mix, word_hashes
 
 #: Words of the shortest passage that counts.
@@ -178,6 +178,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = cut(_anchors(light))
     grams = kept.groupBy("h").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("n")).where("x <> y").select("h", F.ceil(F.col("n") / COMMON).cast("int").alias("parts"))
     shared = cut(kept.join(grams, "h").groupBy("doc").agg(F.collect_set(F.struct("pos", "parts")).alias("at")))
+    release(kept)
     sums = shared.agg(F.sum(F.size("at")), F.max(F.array_max(F.transform("at", lambda a: a["parts"])))).first()
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((sums[0] or 0) // 200_000))
 
