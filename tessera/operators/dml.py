@@ -167,20 +167,59 @@ def check_rows(rows: DataFrame, policies: list[Policy], command: str = "insert",
 
 @dataclass
 class Trigger:
-    """A function of the rows of a statement, run before or after it, where its condition holds."""
+    """What runs ``before``, ``after`` or ``instead of`` a statement.
+
+    At the level of rows it is a function of the statement's rows, those where its condition holds; what it
+    returns before a change takes their place, so that rows it leaves out aren't changed. At the level of the
+    statement it is called once, with the event's name.
+    """
 
     when: str
     events: tuple[str, ...]
     function: callable
     condition: Column | None = None
+    level: str = "row"
 
 
 def fire(triggers: list[Trigger], when: str, event: str, rows: DataFrame) -> DataFrame:
     """The rows as the triggers leave them; those outside a trigger's condition pass by it."""
-    for t in (t for t in triggers if t.when == when and event in t.events):
+    for t in (t for t in triggers if t.level == "row" and t.when == when and event in t.events):
         if t.condition is None:
             rows = t.function(rows)
         else:
             hit = F.coalesce(t.condition, F.lit(False))
             rows = t.function(rows.where(hit)).unionByName(rows.where(~hit))
     return rows
+
+
+def _announce(triggers: list[Trigger], when: str, event: str) -> None:
+    for t in triggers:
+        if t.level == "statement" and t.when == when and event in t.events:
+            t.function(event)
+
+
+def statement(table: DataFrame, event: str, triggers: list[Trigger], rows: DataFrame | None = None, where: Column | None = None, assign: dict[str, Column] | None = None) -> Change:
+    """An insert of ``rows``, an update, a delete or a truncate with its triggers, those of the statement around those of the rows.
+
+    ``instead of`` triggers take the rows, and the table stays as it is. Triggers after the change see its rows;
+    an error of any is an error of the statement.
+    """
+    hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+    _announce(triggers, "before", event)
+    if event == "truncate":
+        change = truncate(table)
+    else:
+        old = table.where(hit)
+        new = rows if event == "insert" else update(old, F.lit(True), assign).table if event == "update" else old
+        if any(t.when == "instead of" and event in t.events for t in triggers):
+            return Change(table, fire(triggers, "instead of", event, new))
+        done = fire(triggers, "before", event, new)
+        if event == "insert":
+            change = insert(table, done)
+        elif event == "update":
+            change = Change(table.where(~hit).unionByName(done), done)
+        else:
+            change = Change(table.where(~hit).unionByName(old.exceptAll(done)), done)
+        fire(triggers, "after", event, change.returning)
+    _announce(triggers, "after", event)
+    return change

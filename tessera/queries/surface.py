@@ -338,6 +338,23 @@ def dml_triggers(spark, d):
     return dml.insert(n, new).returning
 
 
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS n_name FROM nation WHERE n_regionkey <> 2 OR n_nationkey > 12")
+def dml_statement_triggers(spark, d):
+    """An update whose rows a trigger changes again, then a delete that a trigger keeps from some rows."""
+    seen = []
+    fired = [
+        dml.Trigger("before", ("update", "delete"), seen.append, level="statement"),
+        dml.Trigger("before", ("update",), lambda new: new.withColumn("n_name", F.concat("n_name", F.lit("!")))),
+        dml.Trigger("before", ("delete",), lambda old: old.limit(0), F.col("n_nationkey") > 12),
+        dml.Trigger("after", ("update", "delete"), seen.append, level="statement"),
+    ]
+    once = dml.statement(t(spark, d, "nation"), "update", fired, where=F.col("n_regionkey") == 1, assign={"n_name": F.upper("n_name")})
+    out = dml.statement(once.table, "delete", fired, where=F.col("n_regionkey") == 2).table
+    if seen != ["update", "update", "delete", "delete"]:
+        raise AssertionError(seen)
+    return out.select("n_nationkey", "n_name")
+
+
 @query("SELECT true AS scans, true AS pushed")
 def explain_plan(spark, d):
     plan = ddl.explain(t(spark, d, "orders").where("o_custkey = 7").select("o_orderkey"))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import context, crypto, routines
-from tessera.operators import locks, relational
+from tessera.operators import dml, locks, relational
 from tessera.plans import dialect, documents
 from tessera.search import index
 from tessera.search import vectors as V
@@ -273,3 +273,21 @@ def test_windows_in_order_by(spark, tables):
     rows = dialect.query(spark, "SELECT id, n AS m FROM tessera_rows ORDER BY rank() OVER (ORDER BY n) DESC, s, x LIMIT 5")
     assert rows.columns == ["id", "m"] and [r.id for r in rows.collect()] == [1, 2]
     assert [r.id for r in dialect.query(spark, "SELECT id FROM tessera_rows ORDER BY (SELECT max(n) FROM tessera_rows), id DESC").collect()] == [2, 1]
+
+
+def test_statements_with_triggers(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id int, s string")
+    rows = lambda x: sorted(tuple(r) for r in x.collect())
+    taken = []
+    instead = [dml.Trigger("instead of", ("insert", "delete"), lambda x: taken.append(x) or x)]
+    assert rows(dml.statement(df, "insert", instead, rows=df).table) == rows(df) and len(taken) == 1
+    assert rows(dml.statement(df, "delete", [], where=F.col("id") == 2).table) == [(1, "a")]
+    kept = [dml.Trigger("before", ("delete",), lambda x: x.dropDuplicates())]
+    assert rows(dml.statement(df, "delete", kept, where=F.col("id") == 2).table) == [(1, "a"), (2, "b")]
+    assert dml.statement(df, "truncate", []).table.count() == 0 and rows(dml.statement(df, "update", [], where=F.lit(None).cast("boolean"), assign={"s": F.lit("z")}).table) == rows(df)
+
+    def refuse(event):
+        raise ValueError(event)
+
+    with pytest.raises(ValueError, match="truncate"):
+        dml.statement(df, "truncate", [dml.Trigger("after", ("truncate",), refuse, level="statement")])
