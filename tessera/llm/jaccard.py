@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import cut, prepare, release, whole_row
 from tessera.llm.graph import connected_components
-from tessera.llm.shingles import mix, shingle_set
+from tessera.llm.shingles import mix, shingle_set, shingle_sets
 
 WIDTH = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -72,10 +72,28 @@ def _least_must_share(n: Column, low: Column, high: Column) -> Column:
     return F.array_min(F.transform(sizes, lambda m: _must_share(n, m)))
 
 
-def _set_id(tokens: np.ndarray) -> int:
-    """A hash of a set, whatever the order."""
-    both = np.array([tokens.size, mix(tokens).sum(dtype=np.uint64)], np.uint64)
-    return int(mix(mix(both[:1]) + both[1:]).view(np.int64)[0])
+def _set_ids(sets: list[np.ndarray]) -> list[int | None]:
+    """A hash of each set, whatever the order; None of empty ones."""
+    sizes = np.array([len(s) for s in sets], np.uint64)
+    full = np.flatnonzero(sizes)
+    out: list[int | None] = [None] * len(sets)
+    if len(full):
+        starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1])).astype(np.int64)
+        sums = np.add.reduceat(mix(np.concatenate([sets[i] for i in full])), starts)
+        for i, sid in zip(full.tolist(), mix(mix(sizes[full]) + sums).view(np.int64).tolist(), strict=True):
+            out[i] = sid
+    return out
+
+
+def _set_id(tokens: np.ndarray) -> int | None:
+    return _set_ids([tokens])[0]
+
+
+def _chunks(texts: pa.Array, size: int = 1000) -> Iterator[tuple[list[np.ndarray], list[int | None]]]:
+    """Sets and their ids of some texts at a time."""
+    for i in range(0, len(texts), size):
+        sets = shingle_sets(texts.slice(i, size).to_pylist(), WIDTH)
+        yield sets, _set_ids(sets)
 
 
 def _merge(tokens: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +115,14 @@ def _sets(docs: DataFrame) -> DataFrame:
         tokens, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
             n, sid, seen, parts, size = [], [], set(), [], 0
-            for text in batch.column(2):
-                s = shingle_set(text.as_py(), WIDTH)
-                n.append(len(s))
-                sid.append(_set_id(s) if len(s) else None)
-                if len(s) and sid[-1] not in seen:
-                    seen.add(sid[-1])
-                    parts.append(s)
-                    size += len(s)
+            for sets, ids in _chunks(batch.column(2)):
+                n += map(len, sets)
+                sid += ids
+                for s, own in zip(sets, ids, strict=True):
+                    if own is not None and own not in seen:
+                        seen.add(own)
+                        parts.append(s)
+                        size += len(s)
                 if size > 1_000_000:
                     tokens, counts = _merge(tokens, counts, *np.unique(np.concatenate(parts), return_counts=True))
                     parts, size = [], 0
@@ -170,16 +188,16 @@ def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, buckets:
         for batch in batches:
             for i in range(0, batch.num_rows, 4000):
                 seen, keys, sids, ranks, lens = set(), [], [], [], []
-                for text in batch.column(0).slice(i, 4000):
-                    s = shingle_set(text.as_py(), WIDTH)
-                    if not len(s) or (sid := _set_id(s)) in seen:
-                        continue
-                    seen.add(sid)
-                    prefix, rank = _prefix(s, hot, sizes)
-                    keys.append(prefix)
-                    sids.append(sid)
-                    ranks.append(rank)
-                    lens.append(len(prefix))
+                for sets, ids in _chunks(batch.column(0).slice(i, 4000)):
+                    for s, sid in zip(sets, ids, strict=True):
+                        if sid is None or sid in seen:
+                            continue
+                        seen.add(sid)
+                        prefix, rank = _prefix(s, hot, sizes)
+                        keys.append(prefix)
+                        sids.append(sid)
+                        ranks.append(rank)
+                        lens.append(len(prefix))
                 if not keys:
                     continue
                 token = np.concatenate(keys)

@@ -76,7 +76,19 @@ def word_hashes(text: str) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted hashes of the distinct shingles of ``width`` words; of a shorter text, the whole sequence as one; empty without words."""
-    words = word_hashes(text) if text else np.empty(0, np.uint64)
+    return _of_words(word_hashes(text) if text else np.empty(0, np.uint64), width)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once; for short arrays less work than ``np.unique``."""
+    x = np.sort(x)
+    fresh = np.empty(len(x), bool)
+    fresh[:1] = True
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    return x if fresh.all() else x[fresh]
+
+
+def _of_words(words: np.ndarray, width: int) -> np.ndarray:
     if not len(words):
         return words
     k = min(width, len(words))
@@ -84,4 +96,48 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     h = words[:n] + np.uint64(k)
     for i in range(1, k):
         h = mix(h) + words[i : i + n]
-    return np.unique(mix(h))
+    return _distinct(mix(h))
+
+
+def _joined(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The sets of texts that are a segment long together, hashed as one."""
+    out = [np.empty(0, np.uint64)] * len(texts)
+    b = np.frombuffer(b" ".join(texts), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])  # of each text and the blank after it
+    up, down = _tables()
+    edge = np.diff(np.concatenate(([True], _SPACE[b], [True])).view(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
+    words = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    last = np.searchsorted(start, ends).tolist()  # words up to the end of each text
+    n = max(0, len(words) - width + 1)
+    h = words[:n] + np.uint64(width)
+    for i in range(1, width):
+        h = mix(h) + words[i : i + n]
+    h, first = mix(h), 0
+    for k, to in enumerate(last):
+        if to - first >= width:
+            out[k] = _distinct(h[first : to - width + 1])
+        elif to > first:
+            out[k] = _of_words(words[first:to], width)
+        first = to
+    return out
+
+
+def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+    """``shingle_set`` of each text, many of them at once."""
+    out: list[np.ndarray] = []
+    now: list[bytes] = []
+    size = 0
+    for text in texts:
+        data = text.encode() if text else b""
+        if now and size + len(data) + 1 > SEGMENT:
+            out += _joined(now, width)
+            now, size = [], 0
+        if len(data) >= SEGMENT:
+            out.append(shingle_set(text, width))
+        else:
+            now.append(data)
+            size += len(data) + 1
+    return out + (_joined(now, width) if now else [])

@@ -39,6 +39,21 @@ def test_long_texts_hash_like_short_ones(monkeypatch):
     assert (shingles.word_hashes(text + " " + "q" * 5000)[[3000, 3002]] == shingles.word_hashes(text)[3000]).all()
 
 
+def test_sets_of_many_texts_are_those_of_each(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "Be", "sea\u00e9", "x" * 40]) + str(rng.randrange(9)) for _ in range(rng.choice([0, 1, 2, 4, 5, 6, 80, 700]))) for _ in range(300)] + [None, "", " ", "\t\n x \n", "Q" * 5000, "y " * 3000]
+    rng.shuffle(texts)
+    for segment in (1 << 20, 2500):
+        monkeypatch.setattr(shingles, "SEGMENT", segment)
+        for width in (5, 1, 3):
+            many = shingles.shingle_sets(texts, width)
+            assert len(many) == len(texts) and all((a == shingles.shingle_set(t, width)).all() and len(a) == len(shingles.shingle_set(t, width)) for a, t in zip(many, texts, strict=True))
+    sets = [shingles.shingle_set(t) for t in texts]
+    ids = jaccard._set_ids(sets)
+    assert ids == [jaccard._set_id(s) for s in sets] and [i is None for i in ids] == [not len(s) for s in sets] and jaccard._set_ids([]) == []
+    assert len({i for i in ids if i}) == len({tuple(s) for s in map(tuple, sets) if s})
+
+
 def corpus(seed):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(5000)}"
