@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,16 +53,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Seconds between two runs of the driver's collector.
+COLLECT_SECONDS = 5.0
+_collected = time.monotonic()
+
+
 def release(*done: DataFrame) -> None:
     """Deletes copies that ``cut`` made and that nothing will read again, and has the shuffle files of steps that are over removed.
 
-    Spark removes these once the driver's collector has seen that nothing refers to them, so it is run here.
+    Spark removes these once the driver's collector has seen that nothing refers to them, so it is run here, once in
+    ``COLLECT_SECONDS`` at most.
     """
+    global _collected
     for df in done:
         spark, file = df.sparkSession, df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if file.isDefined():
             remove(spark, file.get())
-        spark._jvm.System.gc()
+        if time.monotonic() - _collected > COLLECT_SECONDS:
+            spark._jvm.System.gc()
+            _collected = time.monotonic()
 
 
 def remove(spark: SparkSession, folder: str) -> None:
