@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import context, routines
-from tessera.operators import ddl, dml, locks
+from tessera.operators import database, ddl, dml, locks
 from tessera.operators.recursive import checkpointed
 from tessera.plans import dialect, documents, rest
 from tessera.queries.languages import _events, _log
@@ -371,6 +371,29 @@ def ddl_create_table(spark, d):
     return out
 
 
+@query("SELECT n_nationkey AS id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, 'new' AS note FROM nation WHERE n_regionkey > 1")
+def ddl_statements(spark, d):
+    """Tables, keys, an index and a view by statements; rows by inserts that are checked; columns added, renamed, retyped and dropped."""
+    db = database.Database(spark, f"tessera_{uuid.uuid4().hex[:8]}_")
+    for text in (
+        "CREATE TABLE region (r_regionkey int PRIMARY KEY, r_name text NOT NULL)",
+        "CREATE TABLE nation (n_nationkey int, n_name varchar(25) UNIQUE, n_regionkey int REFERENCES region ON DELETE CASCADE, spare numeric(10,2) DEFAULT 1.5 CHECK (spare > 0), PRIMARY KEY (n_nationkey))",
+        "CREATE INDEX by_region ON nation (n_regionkey)",
+    ):
+        db.execute(text)
+    db.insert("region", t(spark, d, "region"))
+    db.insert("nation", t(spark, d, "nation"))
+    for text in (
+        "ALTER TABLE nation RENAME COLUMN n_nationkey TO id", "ALTER TABLE nation ALTER COLUMN n_regionkey TYPE text", "ALTER TABLE nation ADD COLUMN note text DEFAULT 'new'", "ALTER TABLE nation DROP COLUMN spare", "ALTER TABLE nation RENAME TO states",
+        "CREATE VIEW far AS SELECT id, n_name AS name, n_regionkey AS region, note FROM states WHERE n_regionkey::int > 1",
+    ):
+        db.execute(text)
+    out = checkpointed(db.query("SELECT * FROM far"))
+    for text in ("DROP VIEW far", "DROP TABLE states", "DROP TABLE region"):
+        db.execute(text)
+    return out
+
+
 # Vector indexes, answers, topics, progress. V1-V5 E3 E7 R4 R11 R16
 
 

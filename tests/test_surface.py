@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import context, crypto, routines
-from tessera.operators import dml, locks, relational
+from tessera.operators import database, dml, locks, relational
 from tessera.plans import dialect, documents
 from tessera.search import index
 from tessera.search import vectors as V
@@ -291,3 +291,35 @@ def test_statements_with_triggers(spark):
 
     with pytest.raises(ValueError, match="truncate"):
         dml.statement(df, "truncate", [dml.Trigger("after", ("truncate",), refuse, level="statement")])
+
+
+def test_schema_statements(spark):
+    db = database.Database(spark, "tessera_test_")
+    for name in ("a", "b", "c", "d"):
+        spark.sql(f"DROP TABLE IF EXISTS tessera_test_{name}")
+    db.execute("CREATE TABLE a (k int PRIMARY KEY, v text DEFAULT 'x' NOT NULL, n numeric(8,2) CHECK (n > 0))")
+    db.execute("CREATE TABLE b (id int, a_k int REFERENCES a ON DELETE SET NULL, CONSTRAINT u UNIQUE (id, a_k))")
+    db.execute("CREATE TABLE IF NOT EXISTS a (other int)")
+    for bad in ("CREATE TABLE a (k int)", "CREATE TABLE z (k int, k int)", "DROP VIEW nothing", "DROP TABLE a", "ALTER TABLE gone ADD x int", "CREATE VIEW a AS SELECT 1"):
+        with pytest.raises(ValueError):
+            db.execute(bad)
+    row = lambda *v, names="k int, n double": spark.createDataFrame([v], names)
+    assert [tuple(r)[:2] for r in db.insert("a", row(1, 2.5)).collect()] == [(1, "x")]
+    for bad in (row(1, 2.0), row(2, -1.0), row(None, 1.0)):
+        with pytest.raises(ValueError):
+            db.insert("a", bad)
+    with pytest.raises(ValueError, match="foreign"):
+        db.insert("b", row(1, 9, names="id int, a_k int"))
+    db.insert("b", row(1, 1, names="id int, a_k int"))
+    for text in (
+        "CREATE UNIQUE INDEX i ON b (id)", "ALTER TABLE a RENAME TO c", "ALTER TABLE c ALTER n TYPE int", "ALTER TABLE c ALTER COLUMN v DROP NOT NULL", "ALTER TABLE c ALTER COLUMN v SET DEFAULT 'y'", "ALTER TABLE c RENAME n TO m",
+        "CREATE TABLE d AS SELECT m / 2 AS h FROM c", "DROP INDEX i", "DROP TABLE IF EXISTS gone", "CREATE OR REPLACE VIEW w AS SELECT c.k, h FROM c, d",
+    ):
+        db.execute(text)
+    assert [tuple(r) for r in db.query("SELECT * FROM w").collect()] == [(1, 1)] and db.catalog.tables["b"].foreign_keys[0].table == "c"
+    assert db.catalog.tables["c"].checks == ("m > 0",) and db.insert("c", row(2, 7, names="k int, m int")).first().v == "y"
+    with pytest.raises(ValueError, match="depends"):
+        db.execute("DROP TABLE c")
+    for name in ("b", "c", "d"):
+        db.execute(f"DROP TABLE {name}")
+    assert not db.catalog.tables
