@@ -98,7 +98,8 @@ class Templates:
             mine = {t: n * self.idf[t] for t, n in counts.items() if t in self.idf}
             square = sum(sorted(x * x for x in mine.values()))
             asked = {i for t in mine for i in self.of.get(t, ())}
-            dot, name = max((round(sum(sorted(mine[t] * x for t, x in self.vectors[i][1].items() if t in mine)), 9), self.vectors[i][0]) for i in asked)
+            dots = {i: sum(sorted(mine[t] * x for t, x in self.vectors[i][1].items() if t in mine)) for i in asked}
+            _, name, dot = max((round(d, 9), self.vectors[i][0], d) for i, d in dots.items())
             others = [(t.decode(), n) for t, n in sorted(counts.items()) if t not in self.idf]
             if dot >= (LEAST_COSINE - _SLACK) * (square + sum(n * n for _, n in others)) ** 0.5:
                 key = (dot, name, square, tuple(others))
@@ -179,14 +180,15 @@ def licenses(docs: DataFrame, path_col: str = "path", id_col: str = "doc_id", te
 
     A document's own statement comes first (``own``); without one it inherits from the licence file in the
     nearest directory above (``inherited``), found by joining its ancestors to the directories with such a
-    file. Where a directory has several, the most similar counts, ties going to the first name. Null and repeated
-    ids, of any type, are carried along, each row having its own statement. Null texts are empty; null paths
+    file. Where a directory has several, those so named come first, then the most similar counts, ties going to
+    the first name. Null and repeated ids, of any type, are carried along, each row having its own statement. Null texts are empty; null paths
     inherit nothing; an empty table gives no row; other columns aren't read.
     """
     rows = cut(scan_statements(docs, id_col, text_col, path_col).withColumnRenamed("id", "doc_id"))
     folder = F.regexp_extract("path", "(?s)^(.*)/[^/]*$", 1)
-    files = rows.where("license is not null").where((F.col("licensed_words") >= FILE_SHARE * F.col("words")) | F.col("path").rlike(FILE_NAME))
-    above = files.where("path is not null").groupBy(folder.alias("from_dir")).agg(F.min(F.struct((-F.col("cosine")).alias("x"), F.col("license").alias("license"))).alias("best"))
+    named = F.col("path").rlike(FILE_NAME)
+    files = rows.where("license is not null").where((F.col("licensed_words") >= FILE_SHARE * F.col("words")) | named)
+    above = files.where("path is not null").groupBy(folder.alias("from_dir")).agg(F.min(F.struct((~named).alias("other"), (-F.col("cosine")).alias("x"), F.col("license").alias("license"))).alias("best"))
     above = cut(above.select("from_dir", F.col("best.license").alias("given"), (-F.col("best.x")).alias("given_cosine")))
     bare = rows.where("license is null and path is not null").withColumn("folder", folder)
     parts = F.split("folder", "/")

@@ -93,21 +93,23 @@ ORACLE_SQL = {
         st AS (
             SELECT doc_id, k, {_TERMS.format(x="s")} AS ts FROM (
                 SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?;])[	
- ]+', '' || chr(10), 'g'), '[
+
+ ]+', '' || chr(10), 'g'), '[
 ]+') AS parts FROM d)
             )
         ),
         sc AS (SELECT doc_id, k, term, count(*) AS n FROM (SELECT doc_id, k, unnest(ts) AS term FROM st) GROUP BY ALL),
         sv AS (SELECT doc_id, k, term, n, n * idf AS x FROM sc JOIN w USING (term)),
         size AS (SELECT doc_id, k, sum(n) AS size, sqrt(sum(x * x)) AS len FROM sv GROUP BY ALL),
-        dot AS (SELECT doc_id, k, i, name, round(sum(sv.x * tw.x), 9) AS dot FROM sv JOIN tw USING (term) GROUP BY ALL),
-        best AS (SELECT doc_id, k, max(dot) AS dot, max_by(name, (dot, name)) AS name FROM dot GROUP BY ALL),
+        dot AS (SELECT doc_id, k, i, name, sum(sv.x * tw.x) AS dot FROM sv JOIN tw USING (term) GROUP BY ALL),
+        best AS (SELECT doc_id, k, max_by(dot, (round(dot, 9), name)) AS dot, max_by(name, (round(dot, 9), name)) AS name FROM dot GROUP BY ALL),
         near AS (SELECT doc_id, size, name, round(dot / len, 9) AS c FROM best JOIN size USING (doc_id, k) WHERE round(dot / len, 9) >= 0.7),
         own AS (SELECT doc_id, max(c) AS cosine, max_by(name, (c, name)) AS license, sum(size) AS licensed FROM near GROUP BY 1),
-        rows_ AS (SELECT d.doc_id, path, license, cosine, licensed, len({_TERMS.format(x="text")}) AS words, regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) AS folder FROM d LEFT JOIN own USING (doc_id)),
+        rows_ AS (SELECT d.doc_id, path, license, cosine, licensed, len({_TERMS.format(x="text")}) AS words, regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) AS folder,
+                  regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)(\.(txt|md|rst))?$') AS named FROM d LEFT JOIN own USING (doc_id)),
         above AS (
-            SELECT folder AS from_dir, max(cosine) AS given_cosine, min_by(license, (-cosine, license)) AS given FROM rows_
-            WHERE license IS NOT NULL AND path IS NOT NULL AND (licensed >= 0.5 * words OR regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)(\.(txt|md|rst))?$')) GROUP BY 1
+            SELECT folder AS from_dir, min_by(cosine, (NOT named, -cosine, license)) AS given_cosine, min_by(license, (NOT named, -cosine, license)) AS given FROM rows_
+            WHERE license IS NOT NULL AND path IS NOT NULL AND (licensed >= 0.5 * words OR named) GROUP BY 1
         ),
         up AS (
             SELECT doc_id, max_by(from_dir, length(from_dir)) AS from_dir, max_by(given, length(from_dir)) AS given, max_by(given_cosine, length(from_dir)) AS given_cosine
