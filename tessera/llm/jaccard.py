@@ -62,6 +62,11 @@ def _must_share(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * PERCENT / (100 + PERCENT)) - F.greatest(rest(n), rest(m))
 
 
+def _least_partner(n: Column) -> Column:
+    """The least ``_must_share`` of ``n`` with any size that it links to: the smallest partner is the least demanding."""
+    return _must_share(n, F.ceil(n * PERCENT / 100))
+
+
 def _least_must_share(n: Column, low: Column, high: Column) -> Column:
     """The least ``_must_share`` of ``n`` with any size from ``low`` to ``high``.
 
@@ -353,9 +358,9 @@ def _partners(postings: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(left.join(many, "base"))
 
 
-def _shortened(postings: DataFrame) -> DataFrame:
-    """The first tokens of each set's, those of fewest sets, of which two sets share ``_few`` at least if they share as many as they must."""
-    order = Window.partitionBy("sid").orderBy("sets", "base")
+def _shortened(postings: DataFrame, *by: str) -> DataFrame:
+    """The first tokens of each set's in an order that is the same for all, of which two sets share ``_few`` at least if they share as many as they must."""
+    order = Window.partitionBy("sid").orderBy(*by)
     counted = postings.withColumns({"k": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("sid"))})
     return counted.where(F.col("k") <= F.col("all") - F.col("must") + _few(F.col("must"))).drop("k", "all")
 
@@ -451,9 +456,9 @@ def _verified(asked: DataFrame, members: DataFrame, texts: DataFrame) -> DataFra
 
 
 def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link, and that lead or follow in half as many lists as a link must share."""
+    """Pairs whose sizes allow a link, and that lead or follow in a quarter as many of the shortened lists as a link must share of the whole ones."""
     a, b = sets.select(F.col("sid").alias("a"), F.col("n").alias("na")), sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"))
-    return pairs.join(a, "a").join(b, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (F.col("shared") * 2 >= _must_share(F.col("na"), F.col("nb"))))
+    return pairs.join(a, "a").join(b, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (F.col("shared") * 4 >= _must_share(F.col("na"), F.col("nb"))))
 
 
 def _pick(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
@@ -466,8 +471,7 @@ def _pick(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
 
 def _able(postings: DataFrame, sets: DataFrame) -> DataFrame:
     """Postings without sets that share too few of their tokens with others to link, and without tokens that are then one set's."""
-    least = F.ceil(F.col("n") * PERCENT / 100)  # the smallest partner is the least demanding
-    enough = postings.groupBy("sid").agg(F.count("*").alias("shared")).join(sets.select("sid", "n"), "sid").where(F.col("shared") >= _must_share(F.col("n"), least)).select("sid")
+    enough = postings.groupBy("sid").agg(F.count("*").alias("shared")).join(sets.select("sid", "n"), "sid").where(F.col("shared") >= _least_partner(F.col("n"))).select("sid")
     left = postings.join(enough, "sid")
     return cut(left.join(left.groupBy("base").agg(F.count("*").alias("sets")).where("sets > 1").select("base"), "base"))
 
@@ -503,7 +507,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = _pick(light, cut(sets.join(postings.select("sid").distinct(), "sid").select("one.*", "sid")), buckets // 4)
     comps = None
     for turn in range(LEADER_ROUNDS):
-        pairs = cut(_sized(_leader_pairs(_with_components(postings, comps), turn), sets).select(F.col("a").alias("g"), F.col("b").alias("sid")))
+        lists = _shortened(postings.join(sets.select("sid", _least_partner(F.col("n")).alias("must")), "sid"), "base")
+        pairs = cut(_sized(_leader_pairs(_with_components(lists, comps), turn), sets).select(F.col("a").alias("g"), F.col("b").alias("sid")))
         found = _verified(pairs, pairs.select("g", F.col("g").alias("sid")).distinct(), texts)
         comps = _joined(comps, found)
     now = _with_components(postings, comps)
@@ -519,7 +524,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = members.join(count, ["comp", "band"]).join(members.groupBy("comp").agg(F.count("*").alias("size")), "comp")
     members = cut(members.join(now.groupBy("sid").agg(F.first("must").alias("must")), "sid").select("sid", "band", "size", "must", F.xxhash64("comp", "band", F.pmod(F.xxhash64("sid"), F.col("groups"))).alias("g")))
     least_of = members.groupBy("g").agg(F.min("must").alias("least"))
-    short = _shortened(now).join(members.select("sid", "g", "size", "band"), "sid")
+    short = _shortened(now, "sets", "base").join(members.select("sid", "g", "size", "band"), "sid")
     matrix = _matrix(short)
     asked = _asked_groups(short, matrix).join(members.select("sid", "must"), "sid").join(least_of, "g")
     asked = asked.where(F.col("shared") >= _few(F.least("must", "least")))

@@ -146,6 +146,26 @@ def test_random_phrases(spark, seed):
     _same_components(spark, rows)
 
 
+@pytest.mark.parametrize("bits", [6, 8])
+def test_leaders_are_sought_in_shortened_lists(spark, monkeypatch, bits):
+    """2^bits near copies that share all their tokens: each is in as many lists as it takes to meet in one, however large the group."""
+    made, pairs = [], jaccard._leader_pairs
+
+    def counted(postings, turn):
+        found = pairs(postings, turn)
+        made.append(found.agg(F.sum("shared")).first()[0])
+        return found
+
+    monkeypatch.setattr(jaccard, "_leader_pairs", counted)
+    rows = []
+    for i in range(2**bits):
+        rows.append((i, " ".join(f"{'x' if w % 12 == 5 and i >> (w // 12) & 1 else 'w'}{w}" for w in range(100)), 0, "x"))
+    want = _same_components(spark, rows)
+    assert set(want.values()) == {(96, 0)}
+    prefix, must = 96 - 72 + 13, 72 - (72 - 1 - 12)  # with the smallest partner, of 72 tokens
+    assert sum(made) <= 2**bits * (prefix - must + jaccard.FEW)
+
+
 def test_columns_with_the_operators_own_names_stay(spark):
     docs = spark.createDataFrame([(i, "a b c d e f g h" + " i" * (i % 2), 500, 501, 502, 503) for i in range(6)], "doc_id long, text string, __id int, __key int, row int, key int")
     left = jaccard.keep_one_of_each(docs)
