@@ -75,32 +75,67 @@ def trigram_distance(a: Column, b: Column) -> Column:
     return (1 - similarity(a, b)).cast("float")
 
 
-def similar_pairs(left, right, on_left: str, on_right: str, threshold: float = 0.3):
-    """Pairs of rows whose columns are similar, blocked by shared trigrams of which similar texts have one among their rarest.
+#: The longest prefix of which all pairs are listed, and the rows of a key that meet in one part.
+MOST_PAIRED, PART = 12, 1000
+
+
+def _dealt(rows, often, key: str, row: str):
+    """Rows with one of ``__parts`` parts of their key by another column; keys that ``often`` has ``__rows`` of up to PART for are one part."""
+    many = often.where(F.col("__rows") > PART).select(key, F.ceil(F.col("__rows") / PART).alias("__parts"))
+    known = rows.join(many, key, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1).cast("long")))
+    return known.withColumn("__part", F.pmod(F.xxhash64(row), "__parts"))
 
-    Trigrams are ordered by how many texts have them, rare ones first. Two similar texts of m and n trigrams
-    share at least ``threshold / (1 + threshold) * (m + n)``, and so one of the first ``n - ceil(threshold * n) + 1``
-    of either. Rows that share one are compared if their numbers of trigrams and what can still follow allow it; no cross
-    join is made, and each pair is met at the first trigram that it shares only.
+
+def similar_pairs(left, right, on_left: str, on_right: str, threshold: float = 0.3):
+    """Pairs of rows whose columns are similar. Different texts are compared once, and their rows follow from the pairs of texts.
+
+    Trigrams are ordered by how many texts have them, rare ones first. Two similar texts of m and n trigrams share at
+    least ``threshold / (1 + threshold) * (m + n)`` and at least ``ceil(threshold * n)``, and so k of the first
+    ``n - ceil(threshold * n) + k`` of either. Texts are blocked by two of these where that lists few pairs, by one
+    where a text is longer or so short that one may be all it shares. Those that meet are compared if their numbers of trigrams,
+    what can still follow and what 64 bits of either show to be its own allow it; no cross join is made, and each pair is met
+    at the first trigrams that it shares only.
     """
-    of = lambda df, name, row: df.withColumn(row, F.monotonically_increasing_id()).withColumn("__g", trigrams(F.col(name)))
-    a, b = of(left, on_left, "__a"), of(right, on_right, "__b")
-    each = a.select(F.explode("__g").alias("g")).unionAll(b.select(F.explode("__g").alias("g")))
-    often = each.groupBy("g").agg(F.count("*").alias("df"))
-
-    def prefixed(rows, row):
-        known = rows.select(row, F.explode("__g").alias("g")).join(often, "g")
-        listed = known.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("g")).withColumn("n", F.size("g"))
-        some = F.slice("g", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold)).cast("int") + 1)
-        return listed.withColumn("p", F.transform(some, lambda x: x["g"])).select(row, "n", "p", F.posexplode("p").alias("at", "t"))
-
-    x, y = prefixed(a, "__a").withColumnsRenamed({"n": "m", "p": "q", "at": "as"}), prefixed(b, "__b")
-    can = F.least(F.col("m") - F.col("as"), F.col("n") - F.col("at")) * (1 + threshold) >= threshold * (F.col("m") + F.col("n")) - 1e-9
-    size = F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9
-    first = F.array_intersect("q", "p")[0] == F.col("t")
-    near = x.join(y, "t").where(size & can & first).select("__a", "__b")
-    found = near.join(a.drop("__g"), "__a").join(b.drop("__g"), "__b")
-    return found.withColumn("similarity", similarity(F.col(on_left), F.col(on_right))).where(F.col("similarity") >= threshold).drop("__a", "__b")
+    keyed = lambda df, name, k: df.where(F.col(name).isNotNull()).withColumn(k, F.unhex(F.sha2(F.col(name).cast("string"), 256)))
+    a, b = keyed(left, on_left, "__a"), keyed(right, on_right, "__b")
+    side = lambda df, name, k, l, r: df.select(F.col(k).alias("k"), F.col(name).cast("string").alias("text"), F.lit(l).alias("l"), F.lit(r).alias("r"))
+    texts = side(a, on_left, "__a", 1, 0).unionAll(side(b, on_right, "__b", 0, 1)).groupBy("k").agg(F.first("text").alias("text"), F.sum("l").alias("l"), F.sum("r").alias("r"))
+    each = texts.select("k", "l", "r", F.explode(trigrams(F.col("text"))).alias("g"))
+    listed = each.join(each.groupBy("g").agg(F.count("*").alias("df")), "g").groupBy("k", "l", "r").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("g"))
+    listed = listed.select("k", "l", "r", F.col("g.g").alias("g"), F.size("g").alias("n"))
+
+    shared = lambda n: F.ceil(n * F.lit(float(threshold)) - 1e-9).cast("int")
+    paired = lambda n: (shared(n) > 1) & (n - shared(n) + 2 <= MOST_PAIRED)
+    n = F.col("n")
+    # Numbers of trigrams up to `low` and from `high` aren't blocked by two; what may meet such a text is blocked by one as well.
+    low, high = int(1 / threshold + 1e-9), (MOST_PAIRED - 1) / (1 - threshold) if threshold < 1 else float("inf")
+    single = ~paired(n) | (n <= low / threshold + 1e-9) | (n >= (high - 1) * threshold)
+    ways = F.array_compact(F.array(F.when(single, 1), F.when(paired(n), 2)))
+    blocks = listed.withColumn("way", F.explode(ways)).withColumn("p", F.slice("g", F.lit(1), n - shared(n) + F.col("way")))
+    bits = F.aggregate("g", F.lit(0).cast("long"), lambda found, g: found.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))))
+    blocks = blocks.select("k", "l", "r", "n", "way", bits.alias("bits"), F.array_join("g", "").alias("g"), "p", F.posexplode("p").alias("before", "s"))
+    blocks = blocks.select("k", "l", "r", "n", "way", "bits", "g", "before", "s", F.posexplode(F.when(F.col("way") == 2, F.col("p")).otherwise(F.array("s"))).alias("at", "t"))
+    blocks = blocks.where("way = 1 OR at > before").selectExpr("k", "l", "r", "n", "way", "bits", "g", "if(way = 1, before, at) AS at", "if(way = 1, s, concat(s, t)) AS t")
+
+    places = _dealt(blocks, blocks.groupBy("t").agg(F.count("*").alias("__rows")), "t", "k")
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))
+    x = places.where("l > 0").select("t", "way", F.col("__part").alias("part"), others.alias("other"), F.col("k").alias("__a"), F.col("n").alias("m"), F.col("bits").alias("own"), F.col("g").alias("f"), F.col("at").alias("as"))
+    y = places.where("r > 0").select("t", F.col("__part").alias("other"), others.alias("part"), F.col("k").alias("__b"), "n", "bits", "g", "at", "r")
+    m, way, grams = F.col("m"), F.col("way"), lambda c: F.regexp_extract_all(c, F.lit("(?s)..."), F.lit(0))
+    size = F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
+    can = (F.least(m - F.col("as"), n - F.col("at")) + way - 1) * (1 + threshold) >= threshold * (m + n) - 1e-9
+    least = (m + n) * (threshold / (1 + threshold)) - 1e-9
+    rest = (F.bit_count(F.expr("own & ~bits")) <= m - least) & (F.bit_count(F.expr("bits & ~own")) <= n - least)
+    prefix = lambda c, n: grams(F.substring(c, F.lit(1), 3 * (n - shared(n) + way)))
+    first = F.array_join(F.slice(F.array_intersect(prefix("f", m), prefix("g", n)), F.lit(1), way), "") == F.col("t")
+    met = x.hint("merge").join(y, ["t", "part", "other"]).where(((way == 2) == (paired(m) & paired(n))) & size & can & rest & first)
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("r") / PART) - 1)).alias("__part")
+    pairs = met.select("__a", "__b", "r", _similarity(grams("f"), grams("g")).alias("__s")).where(F.col("__s") >= threshold).select("__a", "__b", "__s", parts)
+
+    rows = b.withColumn("__row", F.monotonically_increasing_id())
+    dealt = _dealt(rows, texts.select(F.col("k").alias("__b"), F.col("r").alias("__rows")), "__b", "__row")
+    found = pairs.join(a, "__a").hint("merge").join(dealt, ["__b", "__part"])
+    return found.withColumn("similarity", F.col("__s")).drop("__a", "__b", "__part", "__parts", "__row", "__s")
 
 
 def levenshtein_less_equal(a: Column, b: Column, most: int) -> Column:
